@@ -84,5 +84,5 @@ if __name__ == "__main__":
             else:
                 found = f"rows only: {len(queries()[name](spark, data).collect())}"
         except Exception as e:  # report and go on to the next query
-            found = f"ERROR {str(e)[:1500]}"
+            found = f"ERROR {str(e).splitlines()[0][:700]}"
         print(f"{name}: {found} ({time.time() - start:.1f}s)", flush=True)
