@@ -216,6 +216,7 @@ FROM {{customer}}""",
     # Pairs whose signals are given, so what follows scoring can be checked without the fuzzy functions.
     "scored_pairs": f"""
 SELECT 'P' || o_orderkey AS pair_id, {_domain('o_custkey')} AS domain,
+  CASE o_orderkey % 17 WHEN 0 THEN 'v1' WHEN 1 THEN 'v6' ELSE NULL END AS policy_version,
   CASE WHEN o_orderkey % 43 = 0 THEN NULL ELSE CAST(o_orderkey * 7 % 103 AS DOUBLE) / 103 END AS match_score,
   'M' || (o_orderkey % 9) AS a_member_id, CASE WHEN o_custkey % 5 = 0 THEN NULL ELSE 'm' || (o_orderkey % 4) || ' ' END AS b_member_id,
   CASE o_custkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'MDM' WHEN 2 THEN 'erp' WHEN 3 THEN 'CRM' ELSE 'LEGACY' END AS a_source_system,
