@@ -11,3 +11,8 @@ def check(shapes: list[str], body: str, ctes: dict[str, str] | None = None) -> s
     parts += [f"{name} AS ({text.strip()})" for name, text in (ctes or {}).items()]
     head = "WITH " + ",\n".join(parts) + "\n" if parts else ""
     return head + body.strip()
+
+
+def half_up(expr: str, digits: int) -> str:
+    """Round a double half away from zero on its decimal spelling, as Spark does."""
+    return f"CAST(round(CAST(CAST({expr} AS VARCHAR) AS DECIMAL(38, 20)), {digits}) AS DOUBLE)"
