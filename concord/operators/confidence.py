@@ -65,6 +65,16 @@ POLICY_STATUS = {
 }
 
 
+def one_row_per_entry(df: DataFrame, column: str, key: str = "pair_id") -> DataFrame:
+    """The entries of a list column as rows.
+
+    The outer form is taken on purpose: the plain one adds a filter on the list, which
+    copies the expressions behind it down the plan at every step.
+    """
+    first = df.schema[column].dataType.elementType.names[0]
+    return df.select(key, F.inline_outer(column)).where(F.col(first).isNotNull())
+
+
 def _whole(c: Column) -> Column:
     """Nearest whole number, ties to even, between 0 and 100."""
     return clamp(F.bround(c, 0), 0.0, 100.0).cast("int")

@@ -47,7 +47,7 @@ def _explain(s, d):
 
 
 def _timeline(s, d):
-    return _explained(s, d).select("pair_id", F.explode("evidence_timeline").alias("e")).select("pair_id", "e.*")
+    return co.one_row_per_entry(_explained(s, d), "evidence_timeline")
 
 
 def _log(s, d):
@@ -84,9 +84,8 @@ QUERIES = {
         sc.learning_score(F.col("override_rate")).alias("learning_score")),
     "decision_confidence": lambda s, d: rounded(_confident(s, d).select(
         "pair_id", "risk_multiplier", "raw_entity_score", "adjusted_entity_score", "decision_confidence_score", "primary_signal")),
-    "signal_contributions": lambda s, d: rounded(_confident(s, d).select("pair_id", F.explode("signal_contributions").alias("c")).select("pair_id", "c.*")),
-    "signal_packets": lambda s, d: rounded(co.with_signal_packets(_given(s, d)).select("pair_id", F.explode("signal_packets").alias("p")).select(
-        "pair_id", "p.signal_name", "p.signal_score", "p.signal_weight", "p.weighted_score", "p.signal_band", "p.tone", "p.signal_impact")),
+    "signal_contributions": lambda s, d: rounded(co.one_row_per_entry(_confident(s, d), "signal_contributions")),
+    "signal_packets": lambda s, d: rounded(co.one_row_per_entry(co.with_signal_packets(_given(s, d)), "signal_packets").drop("detail")),
     "automation_readiness": lambda s, d: co.automation_readiness(_confident(s, d)).select(
         "pair_id", "automation_tier", "final_recommended_action", "automation_readiness_score", "automation_readiness_label",
         "automation_policy_status", "estimated_false_positive_risk"),

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["quality_plans", "governance_plans", "feedback_plans", "policy_plans", "matching_plans", "decision_plans"]
+MODULES = [
+    "quality_plans", "governance_plans", "feedback_plans", "policy_plans", "matching_plans", "decision_plans", "stream_plans",
+]
 
 
 def queries() -> dict:
