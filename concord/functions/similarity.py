@@ -10,7 +10,9 @@ from __future__ import annotations
 import sys
 from difflib import SequenceMatcher
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -147,24 +149,28 @@ def sequence_ratio_pair(a: str, b: str) -> float:
     return SequenceMatcher(None, a, b).ratio()
 
 
-def _scored(fn, left: pd.Series, right: pd.Series) -> pd.Series:
-    pairs = list(zip(left.fillna(""), right.fillna("")))
-    known = {p: fn(*p) for p in set(pairs)}
-    return pd.Series([known[p] for p in pairs], dtype="float64")
+def _scored(fn, left: pa.Array, right: pa.Array) -> pa.Array:
+    """Scores of two columns; only the distinct pairs of the batch become Python strings."""
+    coded = [pc.fill_null(c.cast(pa.string()), "").dictionary_encode() for c in (left, right)]
+    words = [c.dictionary.to_pylist() for c in coded]
+    i, j = (c.indices.to_numpy(zero_copy_only=False).astype("int64") for c in coded)
+    keys, back = np.unique(i * max(len(words[1]), 1) + j, return_inverse=True)
+    scores = np.array([fn(words[0][k // len(words[1])], words[1][k % len(words[1])]) for k in keys.tolist()], dtype="float64")
+    return pa.array(scores[back] if len(scores) else np.zeros(0))
 
 
-@F.pandas_udf(T.DoubleType())
-def _jaro_winkler(left: pd.Series, right: pd.Series) -> pd.Series:
+@F.arrow_udf(T.DoubleType())
+def _jaro_winkler(left: pa.Array, right: pa.Array) -> pa.Array:
     return _scored(lambda a, b: round(jaro_winkler_pair(a, b), 4), left, right)
 
 
-@F.pandas_udf(T.DoubleType())
-def _weighted_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
+@F.arrow_udf(T.DoubleType())
+def _weighted_ratio(left: pa.Array, right: pa.Array) -> pa.Array:
     return _scored(lambda a, b: round(weighted_ratio_pair(a, b) / 100.0, 4), left, right)
 
 
-@F.pandas_udf(T.DoubleType())
-def _sequence_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
+@F.arrow_udf(T.DoubleType())
+def _sequence_ratio(left: pa.Array, right: pa.Array) -> pa.Array:
     return _scored(sequence_ratio_pair, left, right)
 
 

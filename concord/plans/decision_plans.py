@@ -16,7 +16,7 @@ from concord.plans.checks import check, half_up
 from concord.plans.feedback_plans import AS_OF, history
 from concord.plans.policy_plans import tables
 from concord.plans.quality_plans import rounded
-from concord.sources.shaped import shaped
+from concord.sources.shaped import shaped, spread
 
 GATE_DAY = dt.date(2024, 1, 15)
 SEARCH = ("product", "RING brand#2")
@@ -24,7 +24,7 @@ SEARCH = ("product", "RING brand#2")
 
 def _given(s, d):
     """Pairs with given signals, scored from them."""
-    return sc.score_pairs(shaped(s, d, "scored_pairs"))
+    return sc.score_pairs(spread(shaped(s, d, "scored_pairs")))
 
 
 def _confident(s, d):
@@ -32,7 +32,7 @@ def _confident(s, d):
 
 
 def _explained(s, d, name="match_pairs"):
-    return ex.match_explain(shaped(s, d, name), *tables(s, d), history(s, d), AS_OF)
+    return ex.match_explain(spread(shaped(s, d, name)), *tables(s, d), history(s, d), AS_OF)
 
 
 def _explain(s, d):
@@ -55,7 +55,7 @@ def _log(s, d):
 
 
 def _payloads(s, d):
-    out = normalize_payload(shaped(s, d, "raw_payloads"))
+    out = normalize_payload(spread(shaped(s, d, "raw_payloads")))
     items = F.transform("rule_analysis", lambda r: F.concat_ws("/", r["rule"], r["impact"], r["reason"]))
     return out.select("payload_id", "parsed", "ai_decision", "confidence", "risk_flag", "recommended_action", "explanation_summary",
                       F.array_join(items, ";").alias("rule_analysis"))

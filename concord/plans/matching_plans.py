@@ -13,7 +13,7 @@ from concord.operators import scoring as sc
 from concord.operators import signals as si
 from concord.plans.checks import check, half_up
 from concord.plans.quality_plans import rounded
-from concord.sources.shaped import shaped
+from concord.sources.shaped import shaped, spread
 
 MAPPING = ca.ColumnMapping("a_id", identifier="a_member_id", first_name="a_first_name", last_name="a_last_name",
                            email="a_email", address="a_address", dob="a_dob", source_system="a_source_system")
@@ -25,14 +25,14 @@ def as_domain(df, domain):
 
 def _score(name, domain):
     def run(s, d):
-        out = sc.score_pairs(si.pair_signals(as_domain(shaped(s, d, name), domain)))
+        out = sc.score_pairs(si.pair_signals(as_domain(spread(shaped(s, d, name)), domain)))
         return rounded(out.select("pair_id", F.col("entity_score").alias("entity_score"), F.round("entity_score", 2).alias("match_score"),
                                   "name_score", "address_score", "email_score", "source_score"))
     return run
 
 
 def _product(s, d):
-    out = sc.score_pairs(si.pair_signals(shaped(s, d, "product_pairs")))
+    out = sc.score_pairs(si.pair_signals(spread(shaped(s, d, "product_pairs"))))
     return rounded(out.select("pair_id", "product_id_score", "gtin_score", "sku_score", "name_score", "lot_date_score",
                               "attribute_score", "source_score", F.col("entity_score").alias("match_score")))
 
@@ -62,19 +62,19 @@ def _email(s, d):
 
 
 def _sides(s, d):
-    p = shaped(s, d, "match_pairs")
+    p = spread(shaped(s, d, "match_pairs"))
     return ad.validate(ad.validate(p, "a_address", "a_"), "b_address", "b_")
 
 
 def _validated(s, d):
-    p = shaped(s, d, "match_pairs")
+    p = spread(shaped(s, d, "match_pairs"))
     both = p.select(F.concat("pair_id", F.lit("a")).alias("record_id"), F.col("a_address").alias("address")).unionByName(
         p.select(F.concat("pair_id", F.lit("b")).alias("record_id"), F.col("b_address").alias("address")))
     return ad.validate(both).select("record_id", *ad.PARTS).withColumn("findings", F.array_join("findings", "; "))
 
 
 def _compared_names(s, d):
-    out = na.compare_names(shaped(s, d, "match_pairs"), "a_first_name", "b_first_name")
+    out = na.compare_names(spread(shaped(s, d, "match_pairs")), "a_first_name", "b_first_name")
     return out.select("pair_id", "normalized_a", "normalized_b", "similarity_score", "match_level", "phonetic_key_a", "phonetic_key_b",
                       "nickname_match", F.array_join("findings", "; ").alias("findings"), "insight")
 

@@ -7,7 +7,6 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.operators.feedback import newest
 from concord.plans.checks import check
 from concord.plans.quality_plans import rounded
 from concord.sources.tables import fresh_path
@@ -31,8 +30,7 @@ def _feedback(spark: SparkSession, sf: str) -> DataFrame:
         "concat('exp_', user_id) AS explanation_id", "concat('fb_', event_id) AS feedback_id", "ts AS feedback_at",
         "event_type AS steward_decision")
     jobs.finished(jobs.keep_newest_feedback(rows, f"{path}/data", f"{path}/checkpoint"))
-    written = spark.read.parquet(f"{path}/data").drop("batch")
-    return newest(written, "explanation_id", F.col("feedback_at"))
+    return jobs.newest_of(spark, f"{path}/data")
 
 
 def _daily(spark: SparkSession, sf: str) -> DataFrame:

@@ -19,6 +19,8 @@ def local_session(cores: int | str = 8, app: str = "concord") -> SparkSession:
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("CONCORD_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
+        # Plans here hold thousands of columns; noting the call site of each takes most of the build time.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="concord-wh-"))
         .getOrCreate()
     )

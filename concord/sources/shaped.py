@@ -359,3 +359,13 @@ def shaped(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     for t in frames:
         text = text.replace(f"<<{t}>>", "{" + t + "}")
     return spark.sql(text, **frames)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a scan over at least as many partitions as there are cores.
+
+    Before work that is heavy per row: a table in a few unsplittable files would keep most
+    cores idle. A table with enough splits is left alone and not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from concord.operators.feedback import newest
 from concord.operators.intake import stage_gate
 from concord.operators.quality import BELOW
 from concord.sources.tables import for_schema
@@ -32,7 +33,7 @@ def daily_scores(scores: DataFrame, late: str = LATE) -> DataFrame:
     """
     s = F.col("record_score")
     return (
-        scores.withColumn("domain", F.upper("domain")).withWatermark("created_at", late)
+        scores.withColumns({"domain": F.upper("domain"), "created_at": F.col("created_at").cast("timestamp")}).withWatermark("created_at", late)
         .groupBy(F.window("created_at", "1 day"), "domain")
         .agg(F.count("*").alias("total_records"), F.avg(s).alias("avg_record_score"), F.min(s).alias("min_record_score"),
              F.max(s).alias("max_record_score"), F.count_if(s < BELOW).alias("records_below_threshold"),
@@ -41,30 +42,24 @@ def daily_scores(scores: DataFrame, late: str = LATE) -> DataFrame:
     )
 
 
-def newest_feedback(feedback: DataFrame) -> DataFrame:
-    """Newest feedback per explanation of a stream, in update mode.
-
-    A running maximum per explanation: the state holds one row per explanation, and every
-    micro-batch is reduced on the map side before it reaches the state.
-    """
-    rest = [c for c in feedback.columns if c not in ("explanation_id", "feedback_at")]
-    newest = F.max(F.struct("feedback_at", *rest)).alias("newest")
-    return feedback.groupBy("explanation_id").agg(newest).select("explanation_id", "newest.*")
-
-
 def keep_newest_feedback(feedback: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Write the newest feedback of each explanation per micro-batch, one folder per batch.
 
-    A batch that is run again after a lost executor overwrites its own folder. Readers take
-    the newest row per explanation over all folders.
+    The stream keeps no state, so it does not grow with the explanations ever seen. A batch
+    that is run again after a lost executor overwrites its own folder. Readers take the
+    newest row per explanation over all folders (:func:`newest_of`).
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        newest(batch, "explanation_id", F.col("feedback_at")).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    return (newest_feedback(feedback).writeStream.outputMode("update").foreachBatch(write)
+    return (feedback.writeStream.outputMode("append").foreachBatch(write)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
+def newest_of(spark: SparkSession, path: str) -> DataFrame:
+    return newest(spark.read.parquet(path).drop("batch"), "explanation_id", F.col("feedback_at"))
+
+
 def gate_stream(records: DataFrame, path: str, checkpoint: str, as_of: dt.date) -> StreamingQuery:
     """The stage gate over a stream of records; it keeps no state."""
     return (stage_gate(records, as_of).writeStream.outputMode("append").format("parquet")
