@@ -11,8 +11,9 @@ from concord.functions.text import comparable_email, folded
 from concord.operators.address import ZIP, standardized
 from concord.operators.names import phonetic_key
 
-# A block with more records than this is looked up by broadcast instead of by shuffle.
+# A block with more records than this is split over salts.
 HOT_BLOCK = 1_000_000
+SALTS = 64
 
 
 @dataclass(frozen=True)
@@ -61,18 +62,19 @@ def candidate_pairs(records: DataFrame, mapping: ColumnMapping, hot_block: int =
     through its first one. ``blocks`` lists the kinds of key the two share.
 
     The first record of a block is a minimum, combined on the map side. Blocks above
-    ``hot_block`` records are few (at most records / hot_block) and go out by broadcast; all
-    other blocks are small enough to meet their records by shuffle.
+    ``hot_block`` records are few (at most records / hot_block), so their keys go out by
+    broadcast; records in them carry a salt, and the first record of such a block is handed
+    to every salt. No task gets a whole hot block.
     """
     pk = F.col(mapping.primary_key).cast("string")
     keyed = records.select(pk.alias("id"), F.explode(_blocks(records, mapping)).alias("block"))
     heads = keyed.groupBy("block").agg(F.min("id").alias("first_id"), F.count("*").alias("n")).where(F.col("n") > 1)
-    hot = heads.where(F.col("n") > hot_block).select(F.col("block").alias("hb"), F.col("first_id").alias("hot_first"))
-    marked = keyed.join(F.broadcast(hot), F.col("block") == F.col("hb"), "left")
-    from_hot = marked.where(F.col("hot_first").isNotNull()).select("id", "block", F.col("hot_first").alias("first_id"))
-    cold = marked.where(F.col("hot_first").isNull()).select("id", "block")
-    from_cold = cold.join(heads.where(F.col("n") <= hot_block).select("block", "first_id"), "block")
-    links = from_hot.unionByName(from_cold.select("id", "block", "first_id")).where(F.col("id") != F.col("first_id"))
+    hot = heads.where(F.col("n") > hot_block).select(F.col("block").alias("hot"))
+    salt = F.when(F.col("hot").isNotNull(), F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(F.lit(0))
+    salted = keyed.join(F.broadcast(hot), F.col("block") == F.col("hot"), "left").withColumn("salt", salt).drop("hot")
+    salts = F.when(F.col("n") > hot_block, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    first = heads.select("block", "first_id", F.explode(salts).cast("bigint").alias("salt"))
+    links = salted.join(first, ["block", "salt"]).where(F.col("id") != F.col("first_id"))
     return links.groupBy(F.col("first_id").alias("a_id"), F.col("id").alias("b_id")).agg(
         F.array_join(F.array_sort(F.collect_set("block.kind")), ",").alias("blocks"))
 
