@@ -73,7 +73,7 @@ def candidate_pairs(records: DataFrame, mapping: ColumnMapping, hot_block: int =
     salt = F.when(F.col("hot").isNotNull(), F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(F.lit(0))
     salted = keyed.join(F.broadcast(hot), F.col("block") == F.col("hot"), "left").withColumn("salt", salt).drop("hot")
     salts = F.when(F.col("n") > hot_block, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    first = heads.select("block", "first_id", F.explode(salts).cast("bigint").alias("salt"))
+    first = heads.select("block", "first_id", F.explode(salts.cast("array<bigint>")).alias("salt"))
     links = salted.join(first, ["block", "salt"]).where(F.col("id") != F.col("first_id"))
     return links.groupBy(F.col("first_id").alias("a_id"), F.col("id").alias("b_id")).agg(
         F.array_join(F.array_sort(F.collect_set("block.kind")), ",").alias("blocks"))
