@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from concord.operators import confidence as co
 from concord.operators import intake, search, tickets
 from concord.operators import scoring as sc
-from concord.operators.evidence import evidence_text
+from concord.operators.evidence import EVIDENCE, evidence_text
 from concord.operators.payload import normalize_payload
+from concord.operators.signals import ENTITY_ID_FIELDS
 from concord.plans import explain as ex
 from concord.plans.checks import check, half_up
 from concord.plans.feedback_plans import AS_OF, history
@@ -47,7 +48,10 @@ def _explain(s, d):
 
 
 def _timeline(s, d):
-    return co.one_row_per_entry(_explained(s, d), "evidence_timeline")
+    """Timeline events of the pairs with given signals; their sentences are left out."""
+    df = co.with_signal_packets(co.automation_readiness(_confident(s, d)))
+    df = df.withColumn("evidence_timeline", co.evidence_timeline(df))
+    return rounded(co.one_row_per_entry(df, "evidence_timeline").drop("detail"))
 
 
 def _log(s, d):
@@ -70,11 +74,8 @@ def _gate(s, d):
 
 def _evidence(s, d):
     frames = [(lambda p: p.select("pair_id", evidence_text(p).alias("evidence")))(shaped(s, d, n)) for n in
-              ("match_pairs", "product_pairs", "supplier_pairs", "provider_pairs", "patient_pairs")]
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+              ("match_pairs", "product_pairs")]
+    return frames[0].unionByName(frames[1])
 
 
 QUERIES = {
@@ -199,6 +200,60 @@ def _packet(domain: str, i: int, name: str) -> str:
       FROM (SELECT *, greatest(0e0, least(1e0, coalesce({column}, 0.5e0))) AS sc FROM sp WHERE dom = '{domain}')"""
 
 
+def _event_row(domain: str, i: int, name: str) -> str:
+    column = "name_seq_score" if (domain, name) == ("CUSTOMER", "name_similarity") else co.SIGNAL_COLUMNS[name]
+    steps = {True: (("0.99e0", "Exact Match"), ("0.85e0", "Similar"), ("0", "Not Matched"))}.get(name in co.GRADED_IDS)
+    if steps is None:
+        steps = ((("1", "Exact Match"), ("0", "Not Matched")) if name in co.DETERMINISTIC
+                 else (("0.85e0", "Strong"), ("0.7e0", "Partial"), ("0", "Weak")))
+    grade = "CASE " + " ".join(f"WHEN shown >= {floor} THEN '{word}'" for floor, word in steps) + " END"
+    return f"""SELECT pair_id, {i} AS ord, 'SIGNAL' AS stage, '{co.SIGNAL_TITLES[name]} ' || grade AS title,
+      CASE WHEN grade IN ('Exact Match', 'Strong') THEN 'positive' WHEN grade IN ('Similar', 'Partial') THEN 'neutral' ELSE 'warning' END AS tone, '{name}' AS signal_name,
+      shown AS signal_score, NULL AS policy_rule, NULL AS impact FROM (SELECT *, {grade} AS grade FROM (SELECT pair_id, {half_up(f'greatest(0e0, least(1e0, coalesce({column}, 0.5e0)))', 4)} AS shown
+      FROM sp WHERE dom = '{domain}'))"""
+
+
+def _closing(i: int, stage: str, title: str, tone: str, signal: str, score: str, rule: str = "NULL") -> str:
+    return f"""SELECT pair_id, {100 + i} AS ord, '{stage}', '{title}', {tone}, {signal}, {score}, {rule}, 'HIGH' FROM ready WHERE len(triggered_rules) > 0"""
+
+
+TIMELINE = {
+    **READY,
+    "events_of": " UNION ALL ".join([
+        _long(_event_row, {k: [n for n in v if n != "email_match"] for k, v in co.SHOWN_SIGNALS.items()}),
+        _closing(0, "POLICY", "Policy Rules Applied", "'neutral'", "NULL", "0e0", "array_to_string(triggered_rules, ',')"),
+        _closing(1, "RISK", "Composite Risk Calculated", "'neutral'", "NULL", "coalesce(composite_risk_score, 0) / 100e0"),
+        _closing(2, "AUTOMATION", "Automation Readiness Calculated",
+                 "CASE WHEN automation_readiness_score >= 85 THEN 'positive' WHEN automation_readiness_score < 60 THEN 'warning' ELSE 'neutral' END",
+                 "primary_signal", "automation_readiness_score / 100e0"),
+        _closing(3, "DECISION", "Recommended Action Produced",
+                 "CASE WHEN final_recommended_action IN ('APPROVE_MERGE', 'AUTO_MERGE') THEN 'positive' WHEN final_recommended_action IN ('REJECT_MERGE', 'BLOCK_MERGE') THEN 'warning' ELSE 'neutral' END",
+                 "primary_signal", "conf / 100e0"),
+    ]),
+}
+
+
+def _evidence_sql(table: str, have: set[str]) -> str:
+    """Evidence lines of one pair table that has the fields ``have``."""
+    def field(side: str, names) -> str:
+        found = [f"nullif(trim({side}_{n}), '')" for n in names if n in have]
+        return f"coalesce({', '.join([*found, chr(39) + 'N/A' + chr(39)])})"
+
+    def block(domain: str, side: str) -> str:
+        label, lines = EVIDENCE[domain]
+        out = [f"'Record {side.upper()} {label}Evidence:'"]
+        for name, fields in lines:
+            names = [n for f in fields for n in (ENTITY_ID_FIELDS.get(domain, ("member_id",)) if f == "@id" else (f,))]
+            out.append(f"'- {name}: ' || {field(side, names)}")
+        return f"concat_ws(chr(10), {', '.join(out)})"
+
+    whole = {k: f"{block(k, 'a')} || chr(10) || chr(10) || {block(k, 'b')}" for k in EVIDENCE}
+    cases = " ".join(f"WHEN '{k}' THEN {v}" for k, v in whole.items() if k != "OTHER")
+    return f"SELECT pair_id, CASE {D} {cases} ELSE {whole['OTHER']} END AS evidence FROM {table}"
+
+
+_PERSON = {"member_id", "first_name", "last_name", "dob", "email", "address", "source_system"}
+
 _PLACEHOLDER = "('test', 'dummy', 'fake', 'unknown', 'na', 'n/a')"
 GATE = {
     "t": "SELECT *, " + ", ".join(f"trim(coalesce({c}, '')) AS {k}" for c, k in
@@ -248,6 +303,10 @@ CHECKS = {
       CASE WHEN automation_readiness_score >= 85 THEN 'HIGH_AUTOMATION_READINESS' WHEN automation_readiness_score >= 60 THEN 'MODERATE_AUTOMATION_READINESS' ELSE 'LOW_AUTOMATION_READINESS' END AS automation_readiness_label,
       CASE final_recommended_action WHEN 'AUTO_MERGE' THEN 'ELIGIBLE_FOR_AUTO_MERGE' WHEN 'APPROVE_MERGE' THEN 'APPROVAL_READY' WHEN 'BLOCK_MERGE' THEN 'BLOCKED_BY_POLICY'
         WHEN 'REJECT_MERGE' THEN 'BLOCKED_BY_POLICY' ELSE 'MANUAL_REVIEW_REQUIRED' END AS automation_policy_status, estimated_false_positive_risk FROM ready""", READY),
+    "evidence_timeline": check(["scored_pairs"], """SELECT pair_id, CAST(row_number() OVER (PARTITION BY pair_id ORDER BY ord) AS INTEGER) AS step, stage, title, tone, signal_name,
+      round(signal_score, 6) AS signal_score, CAST(policy_rule AS VARCHAR) AS policy_rule, CAST(impact AS VARCHAR) AS impact FROM events_of""", TIMELINE),
+    "evidence_text": check(["match_pairs", "product_pairs"], _evidence_sql("match_pairs", _PERSON) + " UNION ALL " + _evidence_sql(
+        "product_pairs", {"product_id", "gtin", "sku", "product_name", "product_variant", "pack_size", "effective_lot_date", "source_system"})),
     "member_id_rule": check(["scored_pairs"], """SELECT pair_id, array_to_string(CASE WHEN a_member_id <> '' AND b_member_id <> '' AND lower(trim(a_member_id)) = lower(trim(b_member_id))
       AND NOT list_contains(coalesce(triggered_rules, []), 'MEMBER_ID_EXACT') THEN list_append(coalesce(triggered_rules, []), 'MEMBER_ID_EXACT') ELSE triggered_rules END, ',') AS triggered_rules FROM scored_pairs"""),
     "stage_gate": check(["stage_gate_records"], """SELECT record_key, domain, source_system, array_to_string(iss, '; ') AS issues,
