@@ -37,6 +37,13 @@ def _product(s, d):
                               "attribute_score", "source_score", F.col("entity_score").alias("match_score")))
 
 
+def _signals(name, *columns):
+    """The signals of one domain that need no mailbox comparison."""
+    def run(s, d):
+        return si.pair_signals(spread(shaped(s, d, name))).select("pair_id", *columns)
+    return run
+
+
 def _identifiers(s, d):
     names = ["member_id_score", "supplier_id_score", "tax_id_score", "gtin_score", "provider_id_score", "npi_score",
              "lot_date_score", "dob_score"]
@@ -81,6 +88,10 @@ def _compared_names(s, d):
 
 QUERIES = {
     "candidate_pairs": lambda s, d: ca.candidate_pairs(shaped(s, d, "match_pairs"), MAPPING),
+    "supplier_signals": _signals("supplier_pairs", "supplier_id_score", "tax_id_score", "name_score", "address_score", "source_score"),
+    "provider_signals": _signals("provider_pairs", "provider_scored", "provider_id_score", "npi_score", "name_score", "address_score",
+                                 "specialty_score", "source_score"),
+    "patient_signals": _signals("patient_pairs", "patient_id_score", "human_id_score", "dob_score", "name_score", "address_score", "source_score"),
     "score_customer": _score("match_pairs", "CUSTOMER"),
     "score_product": _product,
     "score_supplier": _score("supplier_pairs", "SUPPLIER"),
@@ -216,6 +227,22 @@ CHECKS = {
       coalesce(attribute, 0e0) AS attribute_score, {half_up("""product_id_score * 0.2e0 + gtin_score * 0.25e0 + sku_score * 0.15e0 + name_score * 0.1e0 + lot_date_score * 0.1e0
         + coalesce(attribute, 0e0) * 0.1e0 + source_score * 0.05e0 + 0.05e0""", 4)} AS match_score
       FROM (SELECT *, {half_up("list_sum(parts) / nullif(len(parts), 0)", 4)} AS attribute FROM h)""", PRODUCT),
+    "supplier_signals": check(["supplier_pairs"], f"""SELECT pair_id, {_exact("coalesce(nullif(a_supplier_id, ''), a_member_id)", "coalesce(nullif(b_supplier_id, ''), b_member_id)")} AS supplier_id_score,
+      {_exact('a_tax_id', 'b_tax_id')} AS tax_id_score, {_jw('an', 'bn')} AS name_score, {_jw('aa', 'ba')} AS address_score, {_trust('a_source_system', 'b_source_system')} AS source_score
+      FROM (SELECT *, {_n('a_supplier_name')} AS an, {_n("coalesce(nullif(b_supplier_name, ''), b_first_name)")} AS bn, {_addr('a_supplier_address')} AS aa,
+        {_addr('b_supplier_address')} AS ba FROM supplier_pairs)"""),
+    "provider_signals": check(["provider_pairs"], f"""SELECT pair_id, scored AS provider_scored, {_exact('a_provider_id', 'b_provider_id')} AS provider_id_score, {_exact('a_npi', 'b_npi')} AS npi_score,
+      CASE WHEN scored THEN {_jw('an', 'bn')} ELSE round({_jw('af', 'bf')} * 0.4e0 + {_jw('al', 'bl')} * 0.6e0, 4) END AS name_score,
+      CASE WHEN scored THEN {_jw('ar', 'br')} ELSE {_jw('aa', 'ba')} END AS address_score, {_jw('asp', 'bsp')} AS specialty_score, {_trust('a_source_system', 'b_source_system')} AS source_score
+      FROM (SELECT *, {_n("coalesce(nullif(a_provider_email, ''), a_email)")} <> '' AND {_n("coalesce(nullif(b_provider_email, ''), b_email)")} <> '' AS scored, """
+      + ", ".join(f"""lower(trim(coalesce({x}_provider_first_name, '') || ' ' || coalesce({x}_provider_last_name, ''))) AS {x}n, {_n(f'{x}_first_name')} AS {x}f, {_n(f'{x}_last_name')} AS {x}l,
+        {_n(f"coalesce(nullif({x}_provider_address, ''), {x}_address)")} AS {x}r, {_addr(f'{x}_address')} AS {x}a, {_n(f'{x}_specialty')} AS {x}sp""" for x in "ab") + " FROM provider_pairs)"),
+    "patient_signals": check(["patient_pairs"], f"""SELECT pair_id, CASE WHEN ai <> '' AND ai = bi THEN 1e0 WHEN split_part(ai, '-', 1) <> '' AND split_part(ai, '-', 1) = split_part(bi, '-', 1) THEN 0.9e0
+        ELSE {_jw('ai', 'bi')} END AS patient_id_score, CASE WHEN {_n('a_human_id')} = '' OR {_n('b_human_id')} = '' THEN NULL WHEN {_n('a_human_id')} = {_n('b_human_id')} THEN 1e0 ELSE 0e0 END AS human_id_score,
+      {_exact("coalesce(nullif(a_patient_dob, ''), a_dob)", 'b_dob')} AS dob_score, round({_jw('af', 'bf')} * 0.4e0 + {_jw('al', 'bl')} * 0.6e0, 4) AS name_score,
+      {_jw('aa', 'ba')} AS address_score, {_trust('a_source_system', 'b_source_system')} AS source_score
+      FROM (SELECT *, {_n('a_patient_id')} AS ai, {_n('b_patient_id')} AS bi, {_n("coalesce(nullif(a_patient_first_name, ''), a_first_name)")} AS af, {_n('b_first_name')} AS bf,
+        {_n("coalesce(nullif(a_patient_last_name, ''), a_last_name)")} AS al, {_n('b_last_name')} AS bl, {_addr('a_address')} AS aa, {_addr('b_patient_address')} AS ba FROM patient_pairs)"""),
     "identifier_match": check(
         ["match_pairs", "product_pairs", "supplier_pairs", "provider_pairs", "patient_pairs"],
         " UNION ALL ".join([
