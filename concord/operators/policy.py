@@ -36,8 +36,10 @@ DEFAULT_VERSION = "v1"
 LEVEL_RANK = {"LOW": 1, "MEDIUM": 2, "HIGH": 3, "CRITICAL": 4}
 LEVEL_POINTS = {"LOW": 10, "MEDIUM": 30, "HIGH": 50, "CRITICAL": 70}
 
-# More active rules than this and pairs meet rules by a keyed join instead of a broadcast list.
-INLINE_RULES = 10_000
+# More active rules than this, or than this in one policy version, and pairs meet rules by a keyed
+# join instead of a broadcast list. A rule is some 200 bytes, so the lists stay below 20 MB.
+INLINE_RULES = 100_000
+INLINE_PER_POLICY = 1_000
 
 CONFIG_COLUMNS = (
     "policy_id", "domain", "policy_version", "policy_name", "policy_description", "active_flag", "effective_from",
@@ -121,11 +123,12 @@ def matched_risk_rules(pairs: DataFrame, rules: DataFrame, as_of: dt.datetime, i
 
     ``pairs`` needs ``pair_id``, ``domain``, ``policy_version`` and ``triggered_rules``. Up to
     ``inline_rules`` active rules travel as one list per policy, so the pairs are not
-    shuffled; with more of them, pairs and rules meet by key.
+    shuffled; with more of them, pairs and rules meet by key. The rules are counted first.
     """
     active = rules.where(in_force(as_of))
     names = ["domain", "policy_version"]
-    if active.limit(inline_rules + 1).count() <= inline_rules:
+    total, most = active.groupBy(*names).count().agg(F.sum("count"), F.max("count")).first()
+    if (total or 0) <= inline_rules and (most or 0) <= INLINE_PER_POLICY:
         lists = active.groupBy(*[F.col(c).alias(f"_{c}") for c in names]).agg(
             F.array_sort(F.collect_list(_rule_rows(active))).alias("_rules"))
         on = [F.col(c) == F.col(f"_{c}") for c in names]
