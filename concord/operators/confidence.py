@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -97,15 +99,28 @@ def _by_signal_domain(df: DataFrame, lists: dict[str, Column], otherwise: Column
     return out.otherwise(otherwise)
 
 
-def with_contributions(df: DataFrame) -> DataFrame:
+def weights_with(overrides: Mapping[str, Mapping[str, float]] | None) -> dict[str, dict[str, float]]:
+    """Published weights with a policy's own values put in, each domain scaled to a sum of 1."""
+    out = {}
+    for domain, weights in SIGNAL_WEIGHTS.items():
+        own = (overrides or {}).get(domain, {})
+        merged = {k: max(0.0, min(float(own.get(k, w)), 1.0)) for k, w in weights.items()}
+        total = sum(merged.values())
+        out[domain] = {k: round(w / total, 6) for k, w in merged.items()} if total > 0 else merged
+    return out
+
+
+def with_contributions(df: DataFrame, weights: Mapping[str, Mapping[str, float]] | None = None) -> DataFrame:
     """Adds ``signal_contributions``: score, weight and share of every weighted signal of the domain.
 
     The lists per domain hold plain columns only; what is computed per entry is written once.
     """
+    table = weights_with(weights)
+
     def entry(name: str, weight: float) -> Column:
         return F.struct(F.lit(name).alias("n"), _present(df, SIGNAL_COLUMNS[name]).alias("s"), F.lit(weight).alias("w"))
 
-    lists = {d: F.array(*[entry(n, w) for n, w in weights.items()]) for d, weights in SIGNAL_WEIGHTS.items()}
+    lists = {d: F.array(*[entry(n, w) for n, w in per_domain.items()]) for d, per_domain in table.items()}
     picked = _by_signal_domain(df, {d: v for d, v in lists.items() if d != "CUSTOMER"}, lists["CUSTOMER"])
 
     def weighed(x: Column) -> Column:
@@ -125,22 +140,23 @@ def primary_signal(contributions: Column) -> Column:
     return F.get(F.array_sort(ranked), F.lit(0))["name"]
 
 
-def decision_confidence(df: DataFrame) -> DataFrame:
+def decision_confidence(df: DataFrame, weights: Mapping[str, Mapping[str, float]] | None = None) -> DataFrame:
     """Adds contributions, primary signal, raw and adjusted score and the confidence of 0 to 100.
 
     Needs the signals, ``entity_score``, ``composite_risk_score`` and ``override_rate``.
     """
-    df = with_contributions(df).withColumns({
+    df = with_contributions(df, weights).withColumns({
         "risk_multiplier": risk_multiplier(F.col("composite_risk_score")),
         "learning_adjustment": learning_adjustment(F.col("override_rate")),
     })
     d, match, mult = domain_of(df), F.col("entity_score"), F.col("risk_multiplier")
     weighed = F.aggregate("signal_contributions", F.lit(0.0), lambda acc, x: acc + x["contribution"])
-    weights = lookup(d, {k: sum(v.values()) for k, v in SIGNAL_WEIGHTS.items()}, sum(SIGNAL_WEIGHTS["CUSTOMER"].values()))
+    sums = {k: sum(v.values()) for k, v in weights_with(weights).items()}
+    whole = lookup(d, sums, sums["CUSTOMER"])
     confidence = (
         F.when(d.isin("SUPPLIER", "PRODUCT", "PROVIDER"), match * F.greatest(mult, F.lit(0.90)) * 100.0)
         .when(d == "PATIENT", match * mult * 100.0)
-        .otherwise(weighed / weights * mult * 100.0)
+        .otherwise(weighed / whole * mult * 100.0)
     )
     raw = F.round(match * mult, 4)
     return df.withColumns({
@@ -151,14 +167,25 @@ def decision_confidence(df: DataFrame) -> DataFrame:
     })
 
 
-def automation_readiness(df: DataFrame) -> DataFrame:
+# Floors of the tiers and of the readiness labels.
+TIER_FLOORS = {"auto_merge_ready_min": 95, "suggested_merge_min": 85, "review_advised_min": 65}
+LABEL_FLOORS = {"high": 85, "moderate": 60}
+
+
+def automation_readiness(
+    df: DataFrame, tiers: Mapping[str, int] | None = None, labels: Mapping[str, int] | None = None
+) -> DataFrame:
     """Adds tier, final action, readiness, its label, policy status and false-positive risk.
 
     A given ``recommended_action`` wins; without one the tier decides. A composite risk of
     0 counts as unknown and weighs 50, like a missing one.
     """
     conf = F.col("decision_confidence_score")
-    tier = ladder(conf, [(95, "AUTO_MERGE_READY"), (85, "SUGGESTED_MERGE"), (65, "REVIEW_ADVISED")], "DO_NOT_AUTOMATE")
+    held = lambda v: max(0, min(int(v), 100))
+    auto, suggested, review = (held((tiers or {}).get(k, v)) for k, v in TIER_FLOORS.items())
+    high, moderate = (held((labels or {}).get(k, v)) for k, v in LABEL_FLOORS.items())
+    tier = ladder(conf, [(auto, "AUTO_MERGE_READY"), (suggested, "SUGGESTED_MERGE"), (review, "REVIEW_ADVISED")],
+                  "DO_NOT_AUTOMATE")
     by_tier = lookup(tier, {"AUTO_MERGE_READY": "AUTO_MERGE", "SUGGESTED_MERGE": "APPROVE_MERGE",
                             "REVIEW_ADVISED": "REVIEW_REQUIRED"}, "BLOCK_MERGE")
     given = F.upper(F.trim(F.nullif(col_or_null(df, "recommended_action"), F.lit(""))))
@@ -170,7 +197,7 @@ def automation_readiness(df: DataFrame) -> DataFrame:
     return df.withColumns({
         "automation_readiness_label": ladder(
             F.col("automation_readiness_score"),
-            [(85, "HIGH_AUTOMATION_READINESS"), (60, "MODERATE_AUTOMATION_READINESS")], "LOW_AUTOMATION_READINESS"),
+            [(high, "HIGH_AUTOMATION_READINESS"), (moderate, "MODERATE_AUTOMATION_READINESS")], "LOW_AUTOMATION_READINESS"),
         "automation_policy_status": lookup(action, POLICY_STATUS, "MANUAL_REVIEW_REQUIRED"),
         "estimated_false_positive_risk": _whole(risk * 0.65 + (F.lit(100.0) - conf) * 0.35),
     })
@@ -310,21 +337,21 @@ def _details(df: DataFrame) -> dict[str, Column]:
     return out
 
 
-def with_signal_packets(df: DataFrame) -> DataFrame:
+def with_signal_packets(df: DataFrame, weights: Mapping[str, Mapping[str, float]] | None = None) -> DataFrame:
     """Adds ``signal_packets``: the shown signals of the pair's domain with weight, band, tone and a sentence.
 
     Missing evidence scores 0.5 here. Other domains, and providers scored without mailboxes,
     show none. Sentences become columns first and the lists only name columns, which keeps
     the generated code small.
     """
-    kept = df.columns
+    kept, table = df.columns, weights_with(weights)
     details = _details(df)
     df = df.withColumns({f"_d_{k}": v for k, v in details.items()})
 
     def entry(domain: str, name: str) -> Column:
         column = "name_seq_score" if (domain, name) == ("CUSTOMER", "name_similarity") else SIGNAL_COLUMNS[name]
         return F.struct(F.lit(name).alias("n"), _present(df, column).alias("s"),
-                        F.lit(SIGNAL_WEIGHTS[domain][name]).alias("w"), F.col(f"_d_{name}").alias("d"))
+                        F.lit(table[domain][name]).alias("w"), F.col(f"_d_{name}").alias("d"))
 
     lists = {d: F.array(*[entry(d, n) for n in names]) for d, names in SHOWN_SIGNALS.items()}
     if "provider_scored" in df.columns:

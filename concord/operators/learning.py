@@ -94,7 +94,7 @@ def precedent_cases(cases: DataFrame, match_score: float | None = None, limit: i
 
 
 def override_counts(pairs: DataFrame, history: DataFrame, limit: int = 5) -> DataFrame:
-    """Pairs with ``override_count``: the overrides in the top patterns of their similar cases.
+    """Pairs with ``learning_patterns``, the top override patterns of their similar cases, and their ``override_count``.
 
     A pair's answer depends only on its domain, rules and score, and a case counts only
     through its domain, rules, score and reason. Both sides are therefore grouped by those
@@ -121,13 +121,24 @@ def override_counts(pairs: DataFrame, history: DataFrame, limit: int = 5) -> Dat
     found = found.groupBy(*keys, "name", "override_reason").agg(F.sum("n").alias("n"))
     w = Window.partitionBy(*keys).orderBy(F.col("n").desc(), "name", "override_reason")
     top = found.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= limit)
-    total = top.groupBy(*keys).agg(F.sum("n").alias("override_count"))
+    total = top.groupBy(*keys).agg(
+        F.sum("n").alias("override_count"),
+        F.array_sort(F.collect_list(F.struct("rn", "name", "override_reason", "n"))).alias("learning_patterns"))
     t = total.alias("t")
     on = (
         (F.col("a._domain") == F.col("t._domain")) & (F.col("a._rules") == F.col("t._rules"))
         & F.col("a.match_score").eqNullSafe(F.col("t._score"))
     )
     return asked.alias("a").join(t, on, "left").select(
-        *[F.col(f"a.{c}") for c in pairs.columns if c != "override_count"],
-        F.coalesce("t.override_count", F.lit(0)).alias("override_count"),
+        *[F.col(f"a.{c}") for c in pairs.columns if c not in ("override_count", "learning_patterns")],
+        F.coalesce("t.override_count", F.lit(0)).alias("override_count"), "t.learning_patterns",
     )
+
+
+def learning_context() -> Column:
+    """One line per pattern of :func:`override_counts`."""
+    line = lambda p: F.concat(
+        F.lit("- Rule "), p["name"], F.lit(" was previously overridden "), p["n"].cast("string"),
+        F.lit(" times, most often for reason "), p["override_reason"], F.lit("."))
+    return F.when(F.size("learning_patterns") > 0, F.array_join(F.transform("learning_patterns", line), "\n")).otherwise(
+        "No significant steward override patterns were found for this domain and rule set.")

@@ -94,8 +94,8 @@ def human_id_score(a: Column, b: Column) -> Column:
     return F.when((x == "") | (y == ""), F.lit(None).cast("double")).when(x == y, 1.0).otherwise(0.0)
 
 
-def identifier_signals(pairs: DataFrame) -> DataFrame:
-    """The signals that need no fuzzy comparison."""
+def identifier_signals(pairs: DataFrame, trust: Mapping[str, float] | None = None) -> DataFrame:
+    """The signals that need no fuzzy comparison. ``trust`` overrides the trust of source systems."""
     f, dom = Sides(pairs), domain_of(pairs)
     same = lambda *fields: exact(*f.both(lambda s: f.either(s, *fields)))
     dob = by_domain(dom, {"PATIENT": same("patient_dob", "dob")}, same("dob"))
@@ -109,7 +109,7 @@ def identifier_signals(pairs: DataFrame) -> DataFrame:
         "lot_date_score": same("effective_lot_date"),
         "dob_score": dob,
         "human_id_score": human_id_score(f("a", "human_id"), f("b", "human_id")),
-        "source_score": source_trust(f("a", "source_system"), f("b", "source_system")),
+        "source_score": source_trust(f("a", "source_system"), f("b", "source_system"), trust),
     })
 
 
@@ -145,14 +145,14 @@ def _texts(f: Sides, dom: Column, scored: Column, s: str) -> dict[str, Column]:
     }
 
 
-def pair_signals(pairs: DataFrame) -> DataFrame:
+def pair_signals(pairs: DataFrame, trust: Mapping[str, float] | None = None) -> DataFrame:
     """All signals of a pair, each looking at the fields its domain compares.
 
     Every fuzzy comparison runs once per pair, on the text picked for its domain, and all of
     them share one pass through Python. A provider pair in which a side has no mailbox is
     scored like any other record: ``provider_scored`` tells.
     """
-    df = identifier_signals(pairs)
+    df = identifier_signals(pairs, trust)
     f, dom = Sides(df), F.col("_dom")
     df = df.withColumn("_dom", domain_of(pairs))
     mail = lambda s: folded(f.either(s, "provider_email", "email"))

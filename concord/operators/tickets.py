@@ -12,6 +12,11 @@ HIGH_RISK_DRIVERS = (
     "NPI_REUSE_DETECTED", "IDENTIFIER_COLLISION", "CROSS_SYSTEM_IDENTITY_COLLISION", "REGISTRY_TRUST_DEGRADED",
     "DEA_CONFLICT", "POLICY_EXCEPTION", "GOVERNANCE_POLICY_REQUIRED",
 )
+ACTION_REQUIRED = (
+    "Governance Action Required: This workflow was created due to a high-risk or policy-governed condition. It is "
+    "independent of the AI confidence score. Please review the AI decision, validate the identity evidence, and confirm "
+    "whether this case should be approved, rejected, merged, unmerged, or escalated for policy review."
+)
 REFUSALS = ("BLOCK_MERGE", "REJECT_MERGE")
 
 
@@ -29,6 +34,12 @@ def governance_tickets(explained: DataFrame, label: str = "data-governance") ->
     )
     shown = lambda c: F.coalesce(c.cast("string"), F.lit("N/A"))
     line = lambda name, c: F.concat(F.lit(f"{name}: "), shown(c))
+    def record(side: str) -> list[Column]:
+        """The fields of one record as JSON, where the pair carries them."""
+        fields = [c for c in explained.columns if c.startswith(f"{side}_") and not c.startswith(f"{side}_addr_")]
+        named = F.to_json(F.struct(*[F.col(c).alias(c[2:]) for c in fields])) if fields else None
+        return [F.concat(F.lit(f"Record {side.upper()}: "), named)] if fields else []
+
     described = F.concat_ws(
         "\n",
         line("Explanation ID", text("explanation_id")), line("Request ID", text("request_id")), line("Domain", text("domain")),
@@ -37,6 +48,7 @@ def governance_tickets(explained: DataFrame, label: str = "data-governance") ->
         line("Risk Flag", text("risk_flag")), line("Automation Readiness Score", text("automation_readiness_score")),
         line("Primary Risk Driver", driver),
         F.concat(F.lit("Explanation Summary: "), F.coalesce(text("explanation_summary"), F.lit("No summary provided."))),
+        *record("a"), *record("b"), F.lit(ACTION_REQUIRED),
     )
     summary = F.concat(
         F.lit("Governance Review Required: "), titled(driven), F.lit(" ("),

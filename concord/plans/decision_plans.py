@@ -317,11 +317,11 @@ CHECKS = {
       strength AS deterministic_strength, ready AS automation_readiness_score,
       CASE WHEN ready >= 90 THEN 'AUTO_APPROVE' WHEN ready >= 70 THEN 'REVIEW_REQUIRED' ELSE 'MANUAL_STEWARD_REVIEW' END AS automation_decision FROM w""", GATE),
     "record_search": check(["search_index"], """SELECT * EXCLUDE (search_text) FROM search_index WHERE upper(domain) = 'PRODUCT' AND lower(search_text) LIKE '%ring brand#2%' ORDER BY record_id LIMIT 20"""),
-    "governance_tickets": check(["explanations"], """SELECT explanation_id, 'Governance Review Required: Unknown (' || coalesce(nullif(upper(risk_flag), ''), 'UNKNOWN') || ' Risk / ' ||
+    "governance_tickets": check(["explanations"], f"""SELECT explanation_id, 'Governance Review Required: Unknown (' || coalesce(nullif(upper(risk_flag), ''), 'UNKNOWN') || ' Risk / ' ||
         CASE action WHEN 'AUTO_MERGE' THEN 'Auto Merge' WHEN 'APPROVE_MERGE' THEN 'Approve Merge' WHEN 'BLOCK_MERGE' THEN 'Block Merge' ELSE 'Review Required' END || ')' AS summary,
       concat_ws(chr(10), 'Explanation ID: ' || explanation_id, 'Request ID: ' || coalesce(request_id, 'N/A'), 'Domain: ' || domain, 'Policy Version: ' || policy_version,
         'AI Decision: ' || coalesce(ai_decision, 'N/A'), 'Recommended Action: ' || action, 'Confidence: ' || ai_confidence, 'Risk Flag: ' || risk_flag,
-        'Automation Readiness Score: N/A', 'Primary Risk Driver: N/A', 'Explanation Summary: No summary provided.') AS description, 'data-governance,governance-review,unknown' AS labels
+        'Automation Readiness Score: N/A', 'Primary Risk Driver: N/A', 'Explanation Summary: No summary provided.', '{tickets.ACTION_REQUIRED}') AS description, 'data-governance,governance-review,unknown' AS labels
       FROM (SELECT *, coalesce(final_recommended_action, recommended_action) AS action FROM explanations)
       WHERE risk_flag IN ('HIGH', 'CRITICAL') OR action = 'BLOCK_MERGE' OR upper(ai_decision) IN ('BLOCK_MERGE', 'REJECT_MERGE')"""),
     "normalize_ai_payload": check(["raw_payloads"], f"""SELECT payload_id, j IS NOT NULL AS parsed, CASE WHEN j IS NOT NULL THEN ad END AS ai_decision,

@@ -46,10 +46,13 @@ def _with_addresses(df: DataFrame) -> DataFrame:
 
 def match_explain(
     pairs: DataFrame, configs: DataFrame, thresholds: DataFrame, rules: DataFrame, history: DataFrame,
-    as_of: dt.datetime, payloads: DataFrame | None = None,
+    as_of: dt.datetime, payloads: DataFrame | None = None, trust: dict[str, float] | None = None,
+    weights: dict[str, dict[str, float]] | None = None,
 ) -> DataFrame:
     """Explained pairs. ``history`` is :func:`learning.decided`; ``payloads`` holds checked model answers per pair.
 
+    ``trust`` and ``weights`` put a policy's own source trust and signal weights in place of the published ones.
+
     Pairs meet the logs and policies only through small aggregated tables, so the pairs
     themselves are not shuffled while those stay small.
     """
@@ -61,10 +64,13 @@ def match_explain(
         "override_rate": F.col("override_rate_estimate"),
         "recommended_action": valid(F.col("recommendation"), VALID_DECISIONS, "REVIEW_REQUIRED"),
         "risk_flag": valid(F.col("highest_risk_level"), VALID_RISK_FLAGS, "MEDIUM"),
+        "learning_context": le.learning_context(),
+        "threshold_guidance": po.threshold_guidance(df),
+        "risk_rule_guidance": po.risk_rule_guidance(),
     })
-    df = score_pairs(pair_signals(_with_addresses(df)))
-    df = co.automation_readiness(co.decision_confidence(df))
-    df = co.with_signal_packets(df)
+    df = score_pairs(pair_signals(_with_addresses(df), trust))
+    df = co.automation_readiness(co.decision_confidence(df, weights))
+    df = co.with_signal_packets(df, weights)
     df = df.withColumn("evidence_timeline", co.evidence_timeline(df))
     df = df.withColumn("entity_resolution_summary", co.entity_summary())
     if payloads is not None:

@@ -87,7 +87,7 @@ QUERIES = {
     "override_learning_decisions": lambda s, d: rounded(le.decision_patterns(_cases(s, d))),
     "override_learning_precedents": lambda s, d: _joined(le.precedent_cases(_cases(s, d), CASE_SCORE)),
     "override_counts": lambda s, d: le.override_counts(shaped(s, d, "match_pairs"), history(s, d)).select(
-        "pair_id", "override_count"),
+        "pair_id", "override_count", le.learning_context().alias("learning_context")),
 }
 
 TIES = "steward_user DESC, override_reason_note DESC NULLS LAST, override_reason_code DESC NULLS LAST"
@@ -225,8 +225,10 @@ CHECKS = {
     "override_learning_precedents": check(LOGS, """SELECT explanation_id, record_a_id, record_b_id, record_a_source_system, record_b_source_system, match_score, ai_decision,
       ai_confidence, risk_flag, recommended_action, steward_decision, steward_override_flag, override_reason, array_to_string(triggered_rules, ',') AS triggered_rules, created_at
       FROM cases ORDER BY abs(match_score - 0.9e0) NULLS FIRST, created_at DESC, explanation_id LIMIT 5""", CASES),
-    "override_counts": check(["match_pairs", *LOGS], """SELECT pair_id, CAST(coalesce(override_count, 0) AS BIGINT) AS override_count FROM match_pairs LEFT JOIN (
-      SELECT pair_id, sum(n) AS override_count FROM (SELECT pair_id, name, override_reason, count(*) AS n FROM hits GROUP BY pair_id, name, override_reason
+    "override_counts": check(["match_pairs", *LOGS], """SELECT pair_id, CAST(coalesce(override_count, 0) AS BIGINT) AS override_count,
+      coalesce(lines, 'No significant steward override patterns were found for this domain and rule set.') AS learning_context FROM match_pairs LEFT JOIN (
+      SELECT pair_id, sum(n) AS override_count, string_agg('- Rule ' || name || ' was previously overridden ' || n || ' times, most often for reason ' || override_reason || '.',
+        chr(10) ORDER BY n DESC, name, override_reason) AS lines FROM (SELECT pair_id, name, override_reason, count(*) AS n FROM hits GROUP BY pair_id, name, override_reason
         QUALIFY row_number() OVER (PARTITION BY pair_id ORDER BY n DESC, name, override_reason) <= 5) GROUP BY 1) USING (pair_id)""",
         {**HISTORY, "hits": f"""SELECT p.pair_id, h.override_reason, unnest(h.triggered_rules) AS name FROM match_pairs p JOIN history h
           ON upper(trim(p.domain)) = h.domain AND list_has_any(p.triggered_rules, h.triggered_rules) AND h.steward_override_flag

@@ -211,3 +211,25 @@ def test_spread_leaves_enough_partitions_alone(spark):
 def test_no_query_collects_in_a_python_row_function(spark):
     plan = policy_plans.QUERIES["policy_decision"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BatchEvalPython" not in plan
+
+
+def test_policy_overrides_of_trust_weights_and_floors(spark):
+    df = one(spark, ("1", "CUSTOMER", "mdm", "crm"), "pair_id string, domain string, a_source_system string, b_source_system string")
+    assert si.identifier_signals(df, {"CRM": 1.0}).first().source_score == 1.0
+    weights = co.weights_with({"CUSTOMER": {"dob_match": 0.75}})["CUSTOMER"]
+    assert weights["dob_match"] == 0.5 and sum(weights.values()) == pytest.approx(1.0)
+    assert co.weights_with(None) == sc.SIGNAL_WEIGHTS
+    ready = one(spark, (70, 30), "decision_confidence_score int, composite_risk_score int")
+    assert co.automation_readiness(ready).first().automation_tier == "REVIEW_ADVISED"
+    assert co.automation_readiness(ready, {"auto_merge_ready_min": 70}).first().automation_tier == "AUTO_MERGE_READY"
+
+
+def test_ticket_of_an_npi_reuse(spark):
+    from concord.operators.tickets import governance_tickets
+
+    row = ("exp_1", "PROVIDER", "REVIEW_REQUIRED", "REVIEW_REQUIRED", "HIGH", "44", "NPI_REUSE_DETECTED", "1887004555", "1887004555")
+    df = one(spark, row, "explanation_id string, domain string, ai_decision string, recommended_action string, risk_flag string, "
+                         "automation_readiness_score string, primary_risk_driver string, a_npi string, b_npi string")
+    t = governance_tickets(df).first()
+    assert t.summary == "Governance Review Required: Npi Reuse Detected (HIGH Risk / Review Required)"
+    assert t.labels[-1] == "npi-reuse-detected" and 'Record A: {"npi":"1887004555"}' in t.description
