@@ -1,16 +1,17 @@
 """N-gram Jaccard join: documents whose shingle sets are alike, linked through a token-group matrix.
 
 1. Documents with the same shingle set become one node.
-2. Each node lists its rarest shingles, just so many that two similar nodes must share one (all nodes use one order).
-3. Nodes are partitioned into groups: each is compared with one leader it shares most of its list with, and those that
-   hold form groups. A third of all rows in one group costs one comparison a row.
-4. Token-group matrix: the groups in whose lists a shingle of another group's node stands are that node's candidates.
-   A candidate group's token union bounds the overlap with any of its members; only groups that reach the threshold
-   are opened, and their members that share a listed shingle are compared exactly.
+2. The tokens of each set are dealt by hash into so many parts that two similar sets must have one part in common
+   (pigeonhole); each part is one signature. Unrelated sets share tokens but hardly ever a whole part.
+3. Nodes that share a signature, directly or through others, form a group around a leader. Every member is written as
+   what it lacks and what it adds to the leader's set; members similar to the leader are linked to it.
+4. Token-group matrix: how many members hold each lacking or added token. The tokens that a member shares with the union
+   of all others bound its overlap with any of them, so most members never open their group. The others meet
+   the members with which they share one of their rarest tokens, and those pairs are compared exactly.
 5. Components of all links that hold.
 
-No link between nodes of different groups is lost: step 4 looks at every pair of groups that shares a listed shingle.
-Within a group no more links are needed, as its nodes are connected already.
+No link is lost. With L the leader and d what sets a member apart from it, two members of which one is not similar to L
+can only be similar if they share at least ``needed`` tokens of d, and two that are both similar to L are connected.
 """
 
 from __future__ import annotations
@@ -20,19 +21,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from concord.llm.components import roots
-from concord.llm.tables import PIECES, presence, present, summed, table_rows, written
-from concord.llm.words import SPACED, parts, shingles, text_bytes, words
+from concord.llm.tables import pack, presence, present, shards, unpack, written
+from concord.llm.words import SPACED, mix, parts, shingles, text_bytes, words
 
-#: Slots of the table that orders shingles by how often they occur. The order sets the cost, never the result.
-ORDER_SLOTS = 1 << 18
-#: A shingle counted more often than this, and than this many times the mean slot, has its list of nodes split.
-SPLIT_AT, SPLIT_MEANS = 20_000, 8
 #: Bits of the table that tells which nodes' sets are needed for comparisons.
 NEEDED_BITS = 1 << 26
+#: Signatures that a task collects before it sends them off.
+BLOCK_SIGNATURES = 1 << 20
 
 
 def _sets(batch: pa.RecordBatch, size: int) -> Iterator[np.ndarray]:
@@ -44,79 +44,172 @@ def _node(tokens: np.ndarray) -> bytes:
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
 
-def _nodes_and_counts(docs: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
-    """Rows (doc_id, n, node) of all documents, and how often each slot's shingles occur."""
-    ident = docs.schema[0].dataType.simpleString()
+class Levels:
+    """How sets of each size are dealt into parts.
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+    Sizes form classes such that a set and a larger one similar to it are in the same or neighbouring classes. Sets of
+    a class and of the next share a level. On a level at most ``differ`` tokens set two similar sets apart, so of
+    ``differ + 1 + spare`` parts at least ``1 + spare`` agree. Each set leaves out its ``spare`` smallest parts (ties by
+    content); the largest part that agrees is left out by neither.
+    """
+
+    def __init__(self, num: int, den: int):
+        self.num, self.den = num, den
+        self.bounds = [1, 2]
+
+    def of(self, n: int) -> Iterator[tuple[int, int, int]]:
+        """(level, parts, spare) of the levels on which a set of ``n`` tokens stands."""
+        while self.bounds[-1] <= n:
+            self.bounds.append(max(self.bounds[-1] + 1, (self.bounds[-1] - 1) * self.den // self.num + 1))
+        own = int(np.searchsorted(self.bounds, n, side="right")) - 1
+        for level in (own - 1, own):
+            if level >= 0:
+                differ = (self.bounds[level + 1] - 1) * (self.den - self.num) // self.num
+                spare = differ * 3 * (self.den - self.num) // (2 * self.den)
+                if differ:  # else only equal sets are similar, and those are one node
+                    yield level, differ + 1 + spare, spare
+
+
+def _signatures(tokens: np.ndarray, levels: Levels) -> np.ndarray:
+    """Signatures of a sorted token set on all its levels."""
+    out = []
+    spread = mix(tokens)
+    for level, count, spare in levels.of(len(tokens)):
+        part = ((tokens >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)
+        first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+        total = np.add.reduceat(spread, first)
+        held = np.diff(np.append(first, len(tokens)))
+        missing = count - len(first)
+        key = mix(total + mix(part[first] + np.uint64(level << 32)))
+        if missing < spare:
+            key = key[np.lexsort((key, held))[spare - missing :]]
+        elif missing > spare:
+            empty = np.setdiff1d(np.arange(count, dtype=np.uint64), part[first])
+            empty = np.sort(mix(mix(empty + np.uint64(level << 32))))
+            key = np.concatenate((key, empty[spare:]))
+        out.append(key)
+    return np.concatenate(out) if out else tokens[:0]
+
+
+def _nodes(docs: DataFrame, size: int) -> DataFrame:
+    """Rows (doc_id, n, node, ref): ``node`` stands for the set, ``ref`` is the id by which signatures name it."""
+    ident = docs.schema[0].dataType
+    is_long = ident.simpleString() == "bigint"
 
-        table = np.zeros(ORDER_SLOTS, np.int64)
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in parts(batch, "text"):
-                sizes, nodes, seen = [], [], []
-                for tokens in _sets(part, size):
-                    sizes.append(len(tokens))
-                    nodes.append(_node(tokens) if len(tokens) else None)
-                    seen.append(tokens)
-                if seen:
-                    table += np.bincount(np.concatenate(seen) & np.uint64(ORDER_SLOTS - 1), minlength=ORDER_SLOTS)
-                none = pa.nulls(len(sizes), pa.int32())
+                sets = list(_sets(part, size))
+                nodes = [_node(x) if len(x) else None for x in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), none, none,
-                     pa.nulls(len(sizes), pa.binary())],
-                    names=["doc_id", "n", "node", "piece", "heap", "body"],
+                    [part.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(nodes, pa.binary()),
+                     pa.array(_refs(part.column(0), nodes, is_long), pa.int64())],
+                    names=["doc_id", "n", "node", "ref"],
                 )
-        rows = table_rows(table, TaskContext.get().partitionId())
-        yield pa.RecordBatch.from_arrays(
-            [pa.nulls(PIECES, docs_type), pa.nulls(PIECES, pa.int64()), pa.nulls(PIECES, pa.binary()), *rows.columns],
-            names=["doc_id", "n", "node", "piece", "heap", "body"],
-        )
 
-    docs_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[ident]
-    both = written(docs.mapInArrow(scan, f"doc_id {ident}, n long, node binary, piece int, heap int, body binary"), "nodes")
-    counts = summed(both.where("piece is not null").select("piece", "heap", "body"), ORDER_SLOTS)
-    return both.where("piece is null").select("doc_id", "n", "node"), counts
+    return docs.mapInArrow(scan, f"doc_id {ident.simpleString()}, n long, node binary, ref long")
+
+
+def _refs(ids: pa.Array, nodes: list[bytes | None], is_long: bool) -> list[int | None]:
+    """Short names of sets: the id, or bytes of the set's name where there is none. Two sets of one name both count."""
+    own = ids.to_pylist() if is_long else [None] * len(nodes)
+    return [
+        i if i is not None else int.from_bytes(k[:8], "big", signed=True) if k else None
+        for i, k in zip(own, nodes, strict=True)
+    ]
+
 
+def _stars(sign: np.ndarray, ref: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct signatures with the smallest ref of each, and (ref, smallest) for all other refs."""
+    order = np.lexsort((ref, sign))
+    sign, ref = sign[order], ref[order]
+    first = np.concatenate(([True], sign[1:] != sign[:-1])) if len(sign) else np.zeros(0, bool)
+    least = ref[first][np.cumsum(first) - 1] if len(sign) else ref
+    apart = ref != least
+    return sign[first], ref[first], np.unique(np.stack((ref[apart], least[apart]), 1), axis=0)
 
-def _lists(docs: DataFrame, size: int, num: int, den: int, counts: np.ndarray) -> DataFrame:
-    """Rows (token, salt, split, node, n): the rarest shingles of each node, one more than may be missing in a partner."""
-    sent = docs.sparkSession.sparkContext.broadcast(counts)
-    heavy = max(SPLIT_AT, int(SPLIT_MEANS * counts.mean()))
+
+def _neighbours(docs: DataFrame, size: int, levels: Levels) -> DataFrame:
+    """Edges (a, b) of refs: all refs with one signature hang on the smallest, by way of the smallest of each block.
+
+    A block sends each signature once, however many of its documents hold it, so the most frequent signature costs a
+    shard one row for each block.
+    """
+    is_long = docs.schema[0].dataType.simpleString() == "bigint"
+    total = shards(docs.sparkSession)
+    kind = "key int, sign binary, ref binary, a long, b long"
+    names = ["key", "sign", "ref", "a", "b"]
+
+    def edges(pairs: np.ndarray) -> pa.RecordBatch:
+        n = len(pairs)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(mix(pairs[:, 0].view(np.uint64)) % np.uint64(total), pa.int32()), pa.nulls(n, pa.binary()),
+             pa.nulls(n, pa.binary()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=names,
+        )
+
+    def block(signs: list[np.ndarray], refs: list[int]) -> Iterator[pa.RecordBatch]:
+        ref = np.repeat(np.array(refs, np.int64), [len(x) for x in signs])
+        sign, least, pairs = _stars(np.concatenate(signs), ref)
+        if len(pairs):
+            yield edges(pairs)
+        shard = (sign >> np.uint64(40)) % np.uint64(total)
+        order = np.argsort(shard, kind="stable")
+        sign, least, shard = sign[order], least[order], shard[order]
+        cut = np.searchsorted(shard, np.arange(total + 1))
+        at = [k for k in range(total) if cut[k] < cut[k + 1]]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(at, pa.int32()), pa.array([pack(sign[cut[k] : cut[k + 1]]) for k in at], pa.binary()),
+             pa.array([pack(least[cut[k] : cut[k + 1]]) for k in at], pa.binary()), pa.nulls(len(at), pa.int64()),
+             pa.nulls(len(at), pa.int64())], names=names,
+        )
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = sent.value
+        signs, refs, held = [], [], 0
         for batch in batches:
-            seen: set[bytes] = set()
             for part in parts(batch, "text"):
-                out: list[tuple] = []
-                for tokens in _sets(part, size):
-                    n = len(tokens)
-                    if not n or (node := _node(tokens)) in seen:
-                        continue
-                    seen.add(node)
-                    count = often[tokens & np.uint64(ORDER_SLOTS - 1)]
-                    keep = np.argsort(count, kind="stable")[: n + (-num * n) // den + 1]
-                    ways = (count[keep] // np.uint64(heavy)).astype(np.int64) + 1
-                    out.append((tokens[keep], int.from_bytes(node[:4], "big") % ways, ways > 1, node, n))
-                if out:
-                    long = [len(x[0]) for x in out]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.concatenate([x[0] for x in out]).view(np.int64)),
-                            pa.array(np.concatenate([x[1] for x in out]).astype(np.int32)),
-                            pa.array(np.concatenate([x[2] for x in out])),
-                            pa.array(np.repeat(np.array([x[3] for x in out], "S16").view("V16"), long).tolist(), pa.binary()),
-                            pa.array(np.repeat(np.array([x[4] for x in out], np.int64), long)),
-                        ],
-                        names=["token", "salt", "split", "node", "n"],
-                    )
-
-    return docs.mapInArrow(scan, "token long, salt int, split boolean, node binary, n long")
+                sets = list(_sets(part, size))
+                nodes = [_node(x) if len(x) else None for x in sets]
+                for tokens, ref in zip(sets, _refs(part.column(0), nodes, is_long), strict=True):
+                    own = _signatures(tokens, levels) if len(tokens) else tokens
+                    if len(own):
+                        signs.append(own)
+                        refs.append(ref)
+                        held += len(own)
+                if held >= BLOCK_SIGNATURES:
+                    yield from block(signs, refs)
+                    signs, refs, held = [], [], 0
+        if signs:
+            yield from block(signs, refs)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, signs, refs = None, [], []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if signs:
+                pairs = _stars(np.concatenate(signs), np.concatenate(refs))[2]
+                if len(pairs):
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+        for batch in batches:
+            local = batch.filter(pa.compute.is_valid(batch.column("a")))
+            if local.num_rows:
+                yield local.select(["a", "b"])
+            for row in range(batch.num_rows):
+                if not batch.column("sign")[row].is_valid:
+                    continue
+                if (own := batch.column("key")[row].as_py()) != key:
+                    yield from flush()
+                    key, signs, refs = own, [], []
+                signs.append(unpack(batch.column("sign")[row].as_py(), np.uint64))
+                refs.append(unpack(batch.column("ref")[row].as_py(), np.int64))
+        yield from flush()
+
+    sent = docs.mapInArrow(scan, kind).repartition("key").sortWithinPartitions("key")
+    return sent.mapInArrow(meet, "a long, b long").distinct()
 
 
 def _sets_of(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
-    """Rows (node, tokens) for the given nodes, each once; tokens are sorted 64-bit numbers."""
+    """Rows (node, tokens) for the given nodes and perhaps some more, each once; tokens are sorted 64-bit numbers."""
     first8 = F.conv(F.hex(F.substring("node", 1, 8)), 16, -10).cast("long")
     needed = docs.sparkSession.sparkContext.broadcast(presence(nodes.select(first8.alias("h")), NEEDED_BITS))
 
@@ -142,111 +235,145 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(scan, "node binary, tokens binary").groupBy("node").agg(F.first("tokens").alias("tokens"))
 
 
-def _hold(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold, by exact intersection."""
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _deltas(members: DataFrame, num: int, den: int) -> DataFrame:
+    """Rows (g, rep, n, nl, lacks, adds, held) from (g, rep, tokens, own, leader tokens); held: similar to the leader."""
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+            out = []
+            for x, y in zip(batch.column("tokens"), batch.column("ltokens"), strict=True):
                 x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = np.concatenate((x, y))
-                both.sort()
-                common = int(np.count_nonzero(both[1:] == both[:-1]))
-                keep.append(den * common >= num * (len(both) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta"))
-    right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(compare, "a binary, b binary")
+                lacks, adds = np.setdiff1d(y, x, assume_unique=True), np.setdiff1d(x, y, assume_unique=True)
+                common = len(x) - len(adds)
+                out.append((len(x), len(y), lacks.tobytes(), adds.tobytes(), den * common >= num * (len(y) + len(adds))))
+            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("g"), batch.column("rep"), *[pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)]],
+                names=["g", "rep", "n", "nl", "lacks", "adds", "held"],
+            )
+
+    return members.select("g", "rep", "tokens", "ltokens").mapInArrow(
+        scan, "g binary, rep binary, n long, nl long, lacks binary, adds binary, held boolean"
+    )
 
 
-def _exploded(rows: DataFrame, keep: list[str]) -> DataFrame:
-    """One row per token of the column ``tokens``, with the named columns."""
+def _delta_tokens(deltas: DataFrame) -> DataFrame:
+    """One row (token, g, rep) per lacking or added token; the two kinds never have a token in common in a group."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                tokens = [np.frombuffer(x.as_py(), np.int64) for x in part.column(0)]
+                tokens = [
+                    np.concatenate((np.frombuffer(x.as_py(), np.int64), np.frombuffer(y.as_py(), np.int64)))
+                    for x, y in zip(part.column("lacks"), part.column("adds"), strict=True)
+                ]
                 take = pa.array(np.repeat(np.arange(len(tokens)), [len(x) for x in tokens]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(tokens)), *[part.column(k).take(take) for k in keep]], names=["token", *keep]
+                    [pa.array(np.concatenate(tokens)), part.column("g").take(take), part.column("rep").take(take)],
+                    names=["token", "g", "rep"],
                 )
 
-    schema = ", ".join(["token long", *[f"{k} {rows.schema[k].dataType.simpleString()}" for k in keep]])
-    return rows.select("tokens", *keep).mapInArrow(scan, schema)
+    return deltas.select("g", "rep", "lacks", "adds").mapInArrow(scan, "token long, g binary, rep binary")
 
 
-def _alike(x: Column, y: Column, num: int, den: int) -> Column:
-    """Whether set sizes allow the threshold at all."""
-    return (den * F.least(x, y)) >= (num * F.greatest(x, y))
+def _hold(pairs: DataFrame, deltas: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) of one group that reach the threshold, exactly, from what sets both apart from the leader."""
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for row in batch.select(["na", "nb", "nl", "la", "lb", "aa", "ab"]).to_pylist():
+                la, lb, aa, ab = (np.frombuffer(row[k], np.uint64) for k in ("la", "lb", "aa", "ab"))
+                lack = len(np.union1d(la, lb))
+                common = row["nl"] - lack + len(np.intersect1d(aa, ab, assume_unique=True))
+                keep.append(den * common >= num * (row["na"] + row["nb"] - common))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    def side(s: str) -> DataFrame:
+        return deltas.select(
+            "g", F.col("rep").alias(s), F.col("n").alias(f"n{s}"), F.col("lacks").alias(f"l{s}"), F.col("adds").alias(f"a{s}"),
+            *(["nl"] if s == "a" else []),
+        )
 
-def _links(docs: DataFrame, size: int, num: int, den: int, counts: np.ndarray) -> DataFrame:
-    """(node, root) of all nodes that have a link."""
-    bucket = Window.partitionBy("token", "salt")
-    lists = _lists(docs, size, num, den, counts).repartition("token", "salt").dropDuplicates(["token", "salt", "node"])
-    met = written(
-        lists.select("*", F.min(F.struct("node", "n")).over(bucket).alias("head"), F.max("node").over(bucket).alias("last"))
-        .where("split or head.node != last").drop("last"),
-        "lists",
-    )
-    # Leaders of the parts of a split list meet once more.
-    heads = met.where("split").select("token", F.col("head.node").alias("node"), F.col("head.n").alias("n")).distinct()
-    heads = heads.withColumn("head", F.min(F.struct("node", "n")).over(Window.partitionBy("token")))
-    tries = (
-        met.select("node", "n", "head").unionByName(heads.select("node", "n", "head"))
-        .where((F.col("node") != F.col("head.node")) & _alike(F.col("n"), F.col("head.n"), num, den))
-        .groupBy("node", F.col("head.node").alias("b")).count()
-        .groupBy("node").agg(F.max_by("b", F.struct("count", "b")).alias("b"))
-        .select(F.col("node").alias("a"), "b")
+    full = pairs.join(side("a"), ["g", "a"]).join(side("b"), ["g", "b"])
+    return full.select("a", "b", "na", "nb", "nl", "la", "lb", "aa", "ab").mapInArrow(compare, "a binary, b binary")
+
+
+def _opened(deltas: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (g, a, b) to compare: members that may be similar although not both are similar to the leader."""
+    lacks, adds = F.length("lacks") / 8, F.length("adds") / 8
+    outside = F.greatest(F.lit(1), F.ceil((num * (F.col("n") + F.col("nl"))) / (num + den) - F.col("nl") + lacks - 1e-6))
+    inside = F.floor((den * lacks + num * adds) / (num + den) - 1e-6) + 1
+    busy = deltas.where("not held").select("g").distinct()
+    part = deltas.join(busy, "g", "left_semi").where("length(lacks) + length(adds) > 0").select(
+        "g", "rep", "n", "held", "lacks", "adds", F.when(F.col("held"), inside).otherwise(outside).alias("needed"),
+        (lacks + adds).cast("long").alias("apart"),
+    ).where("needed <= apart")
+    tokens = _delta_tokens(part)
+    # The matrix: members by group and token. Tokens of one member only count in the bound and the rank alone.
+    matrix = tokens.groupBy("g", "token").agg(F.count("*").alias("members")).where("members > 1")
+    shared = tokens.join(matrix, ["g", "token"])
+    rank = Window.partitionBy("g", "rep").orderBy("members", "token")
+    whole = Window.partitionBy("g", "rep")
+    kept = (
+        shared.withColumn("k", F.row_number().over(rank)).withColumn("among", F.count("*").over(whole))
+        .join(part.select("g", "rep", "n", "held", "needed", "apart"), ["g", "rep"])
+        # bound: no more than `among` tokens can be shared; rank: all but `needed - 1` of the tokens, rarest first
+        .where("among >= needed and k <= among - needed + 1").select("g", "token", "rep", "n", "held")
     )
-    sets = written(_sets_of(docs, met.select("node").distinct(), size), "sets")
-    links = written(_hold(tries, sets, num, den), "links")
-    group = written(roots(links), "groups")
-
-    listed = met.select("token", "node", "n").join(group, "node", "left")
-    listed = listed.select("token", "node", "n", F.coalesce("root", "node").alias("g"))
-    several = listed.groupBy("token").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low != high")
-    listed = written(listed.join(several.select("token"), "token", "left_semi"), "listed")
-    matrix = listed.select("token", F.col("g").alias("og")).distinct()
-    meets = listed.join(matrix, "token").where("g > og").select("node", "n", "og").distinct()
-    meets = written(meets, "candidates")
-
-    wanted = meets.select("og").distinct()
-    members = sets.join(group, "node", "left").select("tokens", F.coalesce("root", "node").alias("og"))
-    union = _exploded(members.join(wanted, "og", "left_semi"), ["og"]).distinct()
-    asked = _exploded(sets.join(meets, "node"), ["node", "n", "og"])
-    opened = (
-        asked.join(union, ["og", "token"]).groupBy("node", "n", "og").count()
-        .where(F.col("count") * den >= F.col("n") * num).select(F.col("node").alias("a"), F.col("n").alias("na"), "og")
+    kept = written(kept, "kept")
+    a = kept.select("g", "token", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("held").alias("ha"))
+    b = kept.select("g", "token", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("held").alias("hb"))
+    fits = (F.least("na", "nb") * den) >= (F.greatest("na", "nb") * num)
+    return a.join(b, ["g", "token"]).where((F.col("a") < F.col("b")) & ~(F.col("ha") & F.col("hb")) & fits).select(
+        "g", "a", "b"
+    ).distinct()
+
+
+def _links(docs: DataFrame, nodes: DataFrame, size: int, num: int, den: int, levels: Levels) -> DataFrame:
+    """(node, root) of all classes of equal sets that are linked with another one."""
+    named = nodes.where("node is not null").select("ref", F.col("node").alias("rep")).distinct()
+    edges = written(_neighbours(docs, size, levels), "neighbours")
+    edges = edges.join(named.select(F.col("ref").alias("a"), F.col("rep").alias("x")), "a")
+    edges = edges.join(named.select(F.col("ref").alias("b"), F.col("rep").alias("y")), "b")
+    edges = written(edges.where("x != y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "edges")
+    group = written(roots(edges), "groups").select(F.col("node").alias("rep"), F.col("root").alias("g"))
+    # The leader is the member on which most others hang.
+    leads = edges.groupBy(F.least("a", "b").alias("rep")).count().join(group, "rep")
+    leads = leads.groupBy("g").agg(F.max_by("rep", F.struct("count", "rep")).alias("leader"))
+    wanted = group.withColumnRenamed("rep", "node")
+    found = _sets_of(docs, wanted.select("node"), size).join(wanted, "node").select(F.col("node").alias("rep"), "g", "tokens")
+    found = written(found, "sets")
+    lead = found.join(leads, (found.g == leads.g) & (found.rep == leads.leader)).select(
+        leads.g, "leader", F.col("tokens").alias("ltokens")
     )
-    left = listed.select("token", F.col("node").alias("a")).join(opened, "a")
-    right = listed.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("g").alias("og"))
-    more = left.join(right, ["token", "og"]).where(_alike(F.col("na"), F.col("nb"), num, den)).select("a", "b").distinct()
-    return roots(links.union(_hold(more, sets, num, den)))
+    deltas = written(_deltas(found.join(lead, "g"), num, den), "deltas")
+    direct = deltas.where("held").join(leads, "g").select(F.col("rep").alias("a"), F.col("leader").alias("b"))
+    more = _hold(_opened(deltas, num, den), deltas, num, den)
+    return roots(direct.where("a != b").union(more))
 
 
 def jaccard_groups(
     docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, ident: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """One row (doc_id, n_shingles, component_id) per row of ``docs``.
+    """One row (doc_id, n_shingles, component_id, node) per row of ``docs``.
 
     Words are runs of anything but white space, A-Z lower-cased; a document's set holds its distinct shingles of ``size``
     words, or the whole sequence where there are fewer. Two documents link when the Jaccard similarity of their sets is
-    at least ``num / den``; ``component_id`` is the smallest id that links reach, the own one included.
+    at least ``num / den``; ``component_id`` is the smallest id that links reach, the own one included. ``node`` is equal
+    for equal sets.
 
-    Null and empty texts and texts without words have no set (0 shingles) and link with nothing. Rows with equal sets
-    link, repeated rows and rows with a null id among them; a null id is never the smallest unless no other is there.
-    An empty table gives no rows. Further columns are not looked at.
+    Null and empty texts and texts without words have no set (0 shingles, null node) and link with nothing. Rows with
+    equal sets link, repeated rows and rows with a null id among them; a null id is the smallest only if no other is
+    there. An empty table gives no rows. Further columns are not looked at.
     """
     docs = docs.select(F.col(f"`{ident}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    rows, counts = _nodes_and_counts(docs, size)
-    found = written(_links(docs, size, num, den, counts), "roots")
-    sets = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
+    levels = Levels(num, den)
+    nodes = written(_nodes(docs, size), "nodes")
+    sets = nodes.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
+    found = written(_links(docs, nodes, size, num, den, levels), "roots")
     sets = sets.join(found, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     least = sets.groupBy("root").agg(F.min("least").alias("component"))
     owner = sets.join(least, "root").select("node", "component")
-    return rows.join(owner, "node", "left").select(
+    return nodes.join(owner, "node", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
-        F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"),
+        F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"), "node",
     )

@@ -12,7 +12,7 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.jaccard_groups(_read(spark, sf_dir, "documents"), size=3, num=90, den=100)
+    return jaccard.jaccard_groups(_read(spark, sf_dir, "documents"), size=3, num=90, den=100).drop("node")
 
 
 QUERIES = {f.__name__: f for f in [op6_ngram_jaccard_join]}

@@ -7,8 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from concord.sources.tables import fresh_path
 
@@ -31,6 +30,11 @@ def unpack(body: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(width, -1).T).view(kind).reshape(-1)
 
 
+def shards(spark: SparkSession) -> int:
+    """Shards into which keys are dealt: some for each shuffle partition, so that a task's shards even out."""
+    return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: later steps read it instead of computing it again."""
     spark = df.sparkSession
