@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -300,32 +300,39 @@ def _hold(pairs: DataFrame, deltas: DataFrame, num: int, den: int) -> DataFrame:
 def _opened(deltas: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (g, a, b) to compare: members that may be similar although not both are similar to the leader."""
     lacks, adds = F.length("lacks") / 8, F.length("adds") / 8
-    outside = F.greatest(F.lit(1), F.ceil((num * (F.col("n") + F.col("nl"))) / (num + den) - F.col("nl") + lacks - 1e-6))
-    inside = F.floor((den * lacks + num * adds) / (num + den) - 1e-6) + 1
+    # What two members must share of what sets them apart from the leader, at least. One outside the leader's reach
+    # and one inside: by each one's own distance; two outside: both are as far as the reach, which makes it more.
+    share = num / (num + den)
+    far = F.greatest(F.lit(1), F.ceil(share * (F.col("n") + F.col("nl")) - F.col("nl") + lacks - 1e-6))
+    near = F.floor((1 - share) * lacks + share * adds - 1e-6) + 1
+    both_far = F.greatest(F.lit(1), F.floor(share * (F.col("n") - F.col("nl")) + lacks - 1e-6) + 1)
+
+    def role(mixed: bool, needed: Column) -> Column:
+        return F.struct(F.lit(mixed).alias("mixed"), needed.cast("long").alias("needed"))
+
     busy = deltas.where("not held").select("g").distinct()
     part = deltas.join(busy, "g", "left_semi").where("length(lacks) + length(adds) > 0").select(
-        "g", "rep", "n", "held", "lacks", "adds", F.when(F.col("held"), inside).otherwise(outside).alias("needed"),
-        (lacks + adds).cast("long").alias("apart"),
-    ).where("needed <= apart")
+        "g", "rep", "n", "held", "lacks", "adds",
+        F.when(F.col("held"), F.array(role(True, near))).otherwise(F.array(role(True, far), role(False, both_far))).alias("roles"),
+    )
     tokens = _delta_tokens(part)
-    # The matrix: members by group and token. Tokens of one member only count in the bound and the rank alone.
+    # The matrix: members by group and token. Tokens that one member has alone are in no other's reach.
     matrix = tokens.groupBy("g", "token").agg(F.count("*").alias("members")).where("members > 1")
-    shared = tokens.join(matrix, ["g", "token"])
     rank = Window.partitionBy("g", "rep").orderBy("members", "token")
-    whole = Window.partitionBy("g", "rep")
+    shared = tokens.join(matrix, ["g", "token"]).withColumn("k", F.row_number().over(rank)).withColumn(
+        "among", F.count("*").over(Window.partitionBy("g", "rep"))
+    )
     kept = (
-        shared.withColumn("k", F.row_number().over(rank)).withColumn("among", F.count("*").over(whole))
-        .join(part.select("g", "rep", "n", "held", "needed", "apart"), ["g", "rep"])
+        shared.join(part.select("g", "rep", "n", "held", F.inline("roles")), ["g", "rep"])
         # bound: no more than `among` tokens can be shared; rank: all but `needed - 1` of the tokens, rarest first
-        .where("among >= needed and k <= among - needed + 1").select("g", "token", "rep", "n", "held")
+        .where("among >= needed and k <= among - needed + 1").select("mixed", "g", "token", "rep", "n", "held")
     )
     kept = written(kept, "kept")
-    a = kept.select("g", "token", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("held").alias("ha"))
-    b = kept.select("g", "token", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("held").alias("hb"))
+    a = kept.select("mixed", "g", "token", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("held").alias("ha"))
+    b = kept.select("mixed", "g", "token", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("held").alias("hb"))
     fits = (F.least("na", "nb") * den) >= (F.greatest("na", "nb") * num)
-    return a.join(b, ["g", "token"]).where((F.col("a") < F.col("b")) & ~(F.col("ha") & F.col("hb")) & fits).select(
-        "g", "a", "b"
-    ).distinct()
+    roles = F.when(F.col("mixed"), F.col("ha") != F.col("hb")).otherwise(True)
+    return a.join(b, ["mixed", "g", "token"]).where((F.col("a") < F.col("b")) & roles & fits).select("g", "a", "b").distinct()
 
 
 def _links(docs: DataFrame, nodes: DataFrame, size: int, num: int, den: int, levels: Levels) -> DataFrame:

@@ -71,11 +71,11 @@ def _describe(data: np.ndarray, start: np.ndarray, end: np.ndarray, hashed: np.n
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """(doc_id, x) for rows (doc_id, text). Texts are read in stretches, whose features are averaged by length."""
+    """(doc_id, row, x) for rows (doc_id, row, text). Texts are read in stretches, whose features are averaged by length."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in parts(batch, "text", SLICE_BYTES):
-                data, offsets = text_bytes(part.column(1))
+                data, offsets = text_bytes(part.column(2))
                 found = words(data, offsets, SPACED)
                 ends = np.cumsum(found.counts)
                 rows = []
@@ -94,9 +94,9 @@ def features(docs: DataFrame) -> DataFrame:
                     rows.append(np.average(stretches, axis=0, weights=weights))
                 flat = pa.array(np.concatenate(rows).astype(np.float32)) if rows else pa.array([], pa.float32())
                 lists = pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, N_FEATURES, dtype=np.int32), flat)
-                yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["doc_id", "x"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], names=["doc_id", "row", "x"])
 
-    return docs.mapInArrow(scan, "doc_id long, x array<float>")
+    return docs.mapInArrow(scan, "doc_id long, row long, x array<float>")
 
 
 @dataclass
@@ -177,9 +177,10 @@ def held_out(ident: str = "doc_id") -> F.Column:
 
 
 def quality_scores(
-    docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE
+    docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE,
+    row: str | None = None,
 ) -> DataFrame:
-    """One row (doc_id, held_out, score, predicted) per row of ``docs``.
+    """One row (doc_id, row, held_out, score, predicted) per row of ``docs``; ``row`` is the column of that name, if any.
 
     Only labels of rows that are not held out are used: those of label 1 as positives, and up to ``sample`` of both kinds
     for the class prior and the cut. Unlabelled rows are a sample of all rows that are not held out, their labels unseen.
@@ -187,7 +188,10 @@ def quality_scores(
     counts once for each; without labels of both kinds every score is that of an untrained cut, and without positives
     0.5. Rows with null or repeated ids are kept; an empty table gives no rows; further columns are not looked at.
     """
-    rows = docs.select(F.col(f"`{ident}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    rows = docs.select(
+        F.col(f"`{ident}`").cast("long").alias("doc_id"),
+        (F.col(f"`{row}`") if row else F.lit(None)).cast("long").alias("row"), F.col(f"`{text}`").cast("string").alias("text"),
+    )
     described = written(features(rows), "features")
     known = labels.select(F.col(f"`{ident}`").cast("long").alias("doc_id"), F.col(f"`{label}`").cast("int").alias("y"))
     known = known.where("y in (0, 1)").where(~held_out()).distinct()
@@ -207,10 +211,14 @@ def quality_scores(
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(1)
+            column = batch.column(2)
             x = np.asarray(column.flatten(), np.float64).reshape(-1, N_FEATURES)
             out = sent.value.score(x) if sent.value is not None else np.full(len(x), 0.5)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], names=["doc_id", "score"])
-
-    scored = described.mapInArrow(score, "doc_id long, score double")
-    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(out, pa.float64())], names=["doc_id", "row", "score"]
+            )
+
+    scored = described.mapInArrow(score, "doc_id long, row long, score double")
+    return scored.select(
+        "doc_id", "row", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
+    )
