@@ -35,7 +35,7 @@ def encode(docs: DataFrame, path: str, ident: str = "doc_id", text: str = "text"
     """One row (doc_id, ids) per row of ``docs``: the ids of its whole text, without begin or end.
 
     A model whose pieces cross marks is refused. Null and empty texts have no ids. Rows with a null or repeated id are
-    kept; an empty table gives no rows; further columns are not looked at.
+    kept; an empty table gives no rows; further columns are not looked at. ``docs`` is read twice.
     """
     if not marked_words_stand_alone(path):
         raise ValueError("the model has pieces that cross a white space marker")
@@ -54,7 +54,7 @@ def encode(docs: DataFrame, path: str, ident: str = "doc_id", text: str = "text"
         return values[shift + np.arange(len(shift))].astype(np.int32)
 
     pairs = docs.select(F.col(f"`{ident}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    return by_distinct_piece(pairs, cut, solve, ids, False, pa.list_(pa.int32()), "array<int>").select(
+    return by_distinct_piece(pairs, cut, solve, ids, False, pa.list_(pa.int32()), "array<int>", cut_again=True).select(
         "doc_id", F.col("result").alias("ids")
     )
 

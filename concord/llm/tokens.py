@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import functools
 import os
-import sys
 import unicodedata
 
 import numpy as np
@@ -25,34 +24,28 @@ def _tokenizer(path: str):
 
 
 @functools.cache
-def _unsettled() -> regex.Pattern:
-    """Code points that this Python's Unicode tables do not know: libraries may disagree on what they are."""
-    out, start = [], None
-    for c in range(128, sys.maxunicode + 2):
-        unknown = c <= sys.maxunicode and unicodedata.category(chr(c)) == "Cn"
-        if unknown and start is None:
-            start = c
-        elif not unknown and start is not None:
-            out.append(f"\\U{start:08x}-\\U{c - 1:08x}")
-            start = None
-    return regex.compile(f"[{''.join(out)}]")
-
-
-def _pre_tokens(path: str, pattern: str, text: str) -> list[str]:
-    """Pieces that the tokenizer never merges across. Texts with code points too new to be sure go to the library."""
-    tokenizer = _tokenizer(path)
-    special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+def _marks(path: str) -> list[str]:
+    return [t.content for t in _tokenizer(path).get_added_tokens_decoder().values()]
+
+
+@functools.cache
+def _settled(char: str) -> bool:
+    """Whether this Python's Unicode tables know the character; on newer ones libraries may disagree."""
+    return unicodedata.category(char) != "Cn"
+
+
+def _pre_tokens(path: str, cut: regex.Pattern, text: str) -> list[str]:
+    """Pieces that the tokenizer never merges across. Texts with characters too new to be sure go to the library."""
     found, rest = [], [text]
-    for mark in special:
+    for mark in _marks(path):
         if mark in text:
             found += [mark] * sum(s.count(mark) for s in rest)
             rest = [x for s in rest for x in s.split(mark)]
-    cut = regex.compile(pattern)
     for segment in rest:
-        if segment.isascii() or not _unsettled().search(segment):
+        if segment.isascii() or all(map(_settled, set(segment))):
             found += cut.findall(segment)
         else:
-            found += [segment[a:b] for _, (a, b) in tokenizer.pre_tokenizer.pre_tokenize_str(segment)]
+            found += [segment[a:b] for _, (a, b) in _tokenizer(path).pre_tokenizer.pre_tokenize_str(segment)]
     return found
 
 
@@ -72,6 +65,7 @@ def token_counts(
         ids, counts = own[: len(own) // 2], own[len(own) // 2 :]
         return int((values[ids].astype(np.int64) * counts).sum())
 
+    cut = regex.compile(pattern)
     pairs = docs.select(F.col(f"`{ident}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    counted = by_distinct_piece(pairs, lambda t: _pre_tokens(path, pattern, t), solve, total, True, pa.int64(), "long")
+    counted = by_distinct_piece(pairs, lambda t: _pre_tokens(path, cut, t), solve, total, True, pa.int64(), "long")
     return counted.select("doc_id", "n_bytes", F.col("result").alias("n_tokens"), (F.col("result") > limit).alias("over_limit"))
