@@ -17,26 +17,45 @@ SOUND_GROUPS = (
 
 # First names and the variants that count as the same name.
 NICKNAMES = {
-    "john": "jon johnny jack", "jon": "john johnny",
-    "michael": "mike mikey mick", "mike": "michael",
-    "matthew": "matt mat", "matt": "matthew",
-    "william": "bill billy will willy liam", "bill": "william",
-    "robert": "rob bob bobby", "bob": "robert",
-    "richard": "rich rick ricky dick", "rick": "richard",
-    "james": "jim jimmy", "jim": "james",
-    "joseph": "joe joey", "joe": "joseph",
-    "thomas": "tom tommy", "tom": "thomas",
-    "daniel": "dan danny", "dan": "daniel",
-    "anthony": "tony", "tony": "anthony",
-    "elizabeth": "liz beth lizzy eliza", "liz": "elizabeth",
-    "katherine": "kate kathy kat katie", "kate": "katherine",
-    "margaret": "maggie meg peggy", "maggie": "margaret",
-    "patricia": "pat patty trish", "pat": "patricia",
-    "jennifer": "jen jenny", "jen": "jennifer",
-    "christopher": "chris", "chris": "christopher",
-    "steven": "steve stephen", "steve": "steven stephen", "stephen": "steven steve",
+    "john": ["jon", "johnny", "jack"],
+    "jon": ["john", "johnny"],
+    "michael": ["mike", "mikey", "mick"],
+    "mike": ["michael"],
+    "matthew": ["matt", "mat"],
+    "matt": ["matthew"],
+    "william": ["bill", "billy", "will", "willy", "liam"],
+    "bill": ["william"],
+    "robert": ["rob", "bob", "bobby"],
+    "bob": ["robert"],
+    "richard": ["rich", "rick", "ricky", "dick"],
+    "rick": ["richard"],
+    "james": ["jim", "jimmy"],
+    "jim": ["james"],
+    "joseph": ["joe", "joey"],
+    "joe": ["joseph"],
+    "thomas": ["tom", "tommy"],
+    "tom": ["thomas"],
+    "daniel": ["dan", "danny"],
+    "dan": ["daniel"],
+    "anthony": ["tony"],
+    "tony": ["anthony"],
+    "elizabeth": ["liz", "beth", "lizzy", "eliza"],
+    "liz": ["elizabeth"],
+    "katherine": ["kate", "kathy", "kat", "katie"],
+    "kate": ["katherine"],
+    "margaret": ["maggie", "meg", "peggy"],
+    "maggie": ["margaret"],
+    "patricia": ["pat", "patty", "trish"],
+    "pat": ["patricia"],
+    "jennifer": ["jen", "jenny"],
+    "jen": ["jennifer"],
+    "christopher": ["chris"],
+    "chris": ["christopher"],
+    "steven": ["steve", "stephen"],
+    "steve": ["steven", "stephen"],
+    "stephen": ["steven", "steve"],
 }
-NICKNAME_PAIRS = sorted({"|".join(sorted((a, b))) for a, v in NICKNAMES.items() for b in v.split()})
+NICKNAME_PAIRS = sorted({"|".join(sorted((a, b))) for a, v in NICKNAMES.items() for b in v})
 
 
 def normalized_name(c: Column) -> Column:

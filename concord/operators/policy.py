@@ -36,11 +36,6 @@ DEFAULT_VERSION = "v1"
 LEVEL_RANK = {"LOW": 1, "MEDIUM": 2, "HIGH": 3, "CRITICAL": 4}
 LEVEL_POINTS = {"LOW": 10, "MEDIUM": 30, "HIGH": 50, "CRITICAL": 70}
 
-# More active rules than this, or than this in one policy version, and pairs meet rules by a keyed
-# join instead of a broadcast list. A rule is some 200 bytes, so the lists stay below 20 MB.
-INLINE_RULES = 100_000
-INLINE_PER_POLICY = 1_000
-
 CONFIG_COLUMNS = (
     "policy_id", "domain", "policy_version", "policy_name", "policy_description", "active_flag", "effective_from",
     "effective_to", "default_decision_mode", "review_required_flag", "allow_auto_merge_flag",
@@ -118,30 +113,23 @@ def _rule_rows(rules: DataFrame) -> Column:
     return F.struct(order.alias("o"), *[F.col(c) for c in (RULE_FIELDS[0], "risk_rule_id", *RULE_FIELDS[1:])])
 
 
-def matched_risk_rules(pairs: DataFrame, rules: DataFrame, as_of: dt.datetime, inline_rules: int = INLINE_RULES) -> DataFrame:
+def matched_risk_rules(pairs: DataFrame, rules: DataFrame, as_of: dt.datetime) -> DataFrame:
     """Pairs with ``matched_rules``: the active rules of their policy version that they triggered.
 
-    ``pairs`` needs ``pair_id``, ``domain``, ``policy_version`` and ``triggered_rules``. Up to
-    ``inline_rules`` active rules travel as one list per policy, so the pairs are not
-    shuffled; with more of them, pairs and rules meet by key. The rules are counted first.
+    ``pairs`` needs ``domain``, ``policy_version`` and ``triggered_rules``; ids play no part. The rules of a policy version
+    are one map by name, in which each pair looks up its own, so a pair costs as many looks as it has rules. The
+    map's size is that of one policy; Spark chooses how policies and pairs meet.
     """
-    active = rules.where(in_force(as_of))
     names = ["domain", "policy_version"]
-    total, most = active.groupBy(*names).count().agg(F.sum("count"), F.max("count")).first()
-    if (total or 0) <= inline_rules and (most or 0) <= INLINE_PER_POLICY:
-        lists = active.groupBy(*[F.col(c).alias(f"_{c}") for c in names]).agg(
-            F.array_sort(F.collect_list(_rule_rows(active))).alias("_rules"))
-        on = [F.col(c) == F.col(f"_{c}") for c in names]
-        hit = F.filter(F.coalesce("_rules", F.array()), lambda r: F.coalesce(
-            F.array_contains(F.col("triggered_rules"), r["triggered_rule"]), F.lit(False)))
-        joined = pairs.join(F.broadcast(lists), on, "left")
-        return joined.withColumn("matched_rules", hit).drop("_rules", *[f"_{c}" for c in names])
-    asked = pairs.select("pair_id", *names, F.explode(F.array_distinct("triggered_rules")).alias("triggered_rule"))
-    keyed = active.select(*names, "triggered_rule", _rule_rows(active).alias("_rule"))
-    found = asked.join(keyed, [*names, "triggered_rule"]).groupBy("pair_id").agg(
-        F.array_sort(F.collect_list("_rule")).alias("_found"))
-    empty = F.array().cast(found.schema["_found"].dataType)
-    return pairs.join(found, "pair_id", "left").withColumn("matched_rules", F.coalesce("_found", empty)).drop("_found")
+    active = rules.where(in_force(as_of)).where("triggered_rule is not null")
+    by_name = active.groupBy(*names, "triggered_rule").agg(F.collect_list(_rule_rows(active)).alias("_rule"))
+    maps = by_name.groupBy(*[F.col(c).alias(f"_{c}") for c in names]).agg(
+        F.map_from_entries(F.collect_list(F.struct("triggered_rule", "_rule"))).alias("_rules"))
+    joined = pairs.join(maps, [F.col(c) == F.col(f"_{c}") for c in names], "left")
+    asked = F.filter(F.array_distinct("triggered_rules"), lambda r: r.isNotNull())
+    found = F.flatten(F.filter(F.transform(asked, lambda r: F.try_element_at("_rules", r)), lambda r: r.isNotNull()))
+    empty = F.array().cast(by_name.schema["_rule"].dataType)
+    return joined.withColumn("matched_rules", F.coalesce(F.array_sort(found), empty)).drop("_rules", *[f"_{c}" for c in names])
 
 
 def rule_summary(df: DataFrame) -> DataFrame:

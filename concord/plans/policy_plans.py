@@ -18,11 +18,11 @@ def tables(s, d):
     return shaped(s, d, "policy_config"), shaped(s, d, "policy_thresholds"), shaped(s, d, "policy_risk_rules")
 
 
-def judged(s, d, pairs, inline_rules=p.INLINE_RULES):
+def judged(s, d, pairs):
     """Pairs with policy, matched rules and their summary."""
     configs, limits, rules = tables(s, d)
     pairs = p.with_policy(pairs, configs, limits, AS_OF)
-    return p.rule_summary(p.matched_risk_rules(pairs, rules, AS_OF, inline_rules))
+    return p.rule_summary(p.matched_risk_rules(pairs, rules, AS_OF))
 
 
 def _scored(s, d):

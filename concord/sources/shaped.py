@@ -127,7 +127,7 @@ SELECT 'exp_' || o_orderkey AS explanation_id, {_domain('o_custkey')} AS domain,
   'A' || o_custkey AS record_a_id, 'B' || o_orderkey AS record_b_id,
   CASE o_custkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'MDM' WHEN 2 THEN 'ERP' WHEN 3 THEN 'CRM' ELSE 'LEGACY' END AS record_a_source_system,
   CASE o_orderkey % 4 WHEN 0 THEN 'MDM' WHEN 1 THEN 'ERP' WHEN 2 THEN NULL ELSE 'CRM' END AS record_b_source_system,
-  CASE WHEN o_orderkey % 41 = 0 THEN NULL ELSE CAST(50 + o_orderkey * 17 % 51 AS DOUBLE) / 100 END AS match_score,
+  CASE WHEN o_orderkey % 41 = 0 THEN NULL ELSE CAST(50 + o_orderkey * 19 % 51 AS DOUBLE) / 100 END AS match_score,
   CASE o_orderkey % 5 WHEN 0 THEN SPLIT_CSV('DOB_EXACT') WHEN 1 THEN SPLIT_CSV('EMAIL_EXACT,DOB_EXACT')
     WHEN 2 THEN SPLIT_CSV('NAME_FUZZY') WHEN 3 THEN SPLIT_CSV('NAME_FUZZY,ADDRESS_NEAR,DOB_EXACT') ELSE NULL END AS triggered_rules,
   CASE o_custkey % 6 WHEN 0 THEN 'AUTO_MERGE' WHEN 1 THEN 'APPROVE_MERGE' WHEN 2 THEN 'REVIEW_REQUIRED' WHEN 3 THEN 'BLOCK_MERGE'

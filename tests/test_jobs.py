@@ -144,10 +144,24 @@ def test_one_hot_block_gives_one_pair_per_record(spark):
     assert si.identifier_signals(pairs).where("member_id_score = 1").count() == 1999
 
 
-def test_rules_match_the_same_inline_and_by_key(spark):
-    pairs = shaped(spark, DATA, "scored_pairs").drop("highest_risk_level")
-    rows = lambda n: {r.pair_id: [x.risk_rule_id for x in r.matched_rules] for r in policy_plans.judged(spark, DATA, pairs, n).collect()}
-    assert rows(10_000) == rows(0)
+def test_rules_match_without_ids(spark):
+    """Duplicate and NULL ids, and a policy of 5,000 rules, give each pair its own rules."""
+    rules = [(f"id{i}", "CUSTOMER", "v1", f"R{i % 2500}", float(i % 7), "HIGH", "Y") for i in range(5000)] + [
+        ("idn", "CUSTOMER", "v1", None, 1.0, "HIGH", "Y"), ("idv", "CUSTOMER", "v2", "R1", 1.0, "HIGH", "Y")]
+    kind = "risk_rule_id string, domain string, policy_version string, triggered_rule string, risk_weight double, risk_level string, active_flag string"
+    table = spark.createDataFrame(rules, kind).selectExpr(
+        "*", "'x' as recommended_action", "'y' as override_reason_code", "'z' as notes",
+        "cast(null as timestamp) as effective_from", "cast(null as timestamp) as effective_to")
+    asked = [("X", ["R1"]), ("X", ["R2", "R2", None]), (None, ["R1", "R2499"]), (None, None), ("Y", []), ("Z", ["none"])]
+    pairs = spark.createDataFrame([(i, "CUSTOMER", "v1", t) for i, t in asked], "pair_id string, domain string, policy_version string, triggered_rules array<string>")
+    got = po.matched_risk_rules(pairs, table, AS_OF).collect()
+
+    def want(names):
+        hit = [r for r in rules if r[3] in (names or []) and r[3] is not None and r[2] == "v1"]
+        return tuple(r[0] for r in sorted(hit, key=lambda r: (-r[4], r[3], r[0])))
+
+    found = sorted((r.pair_id or "", tuple(x.risk_rule_id for x in r.matched_rules)) for r in got)
+    assert found == sorted((i or "", want(t)) for i, t in asked)
 
 
 def test_pair_without_policy_stays_with_a_reason(spark):
