@@ -20,6 +20,13 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("a > b").distinct()
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node hangs on one root and no root hangs on another node."""
+    held = edges.groupBy("a").count()
+    roots_ = edges.select(F.col("b").alias("a")).distinct()
+    return held.where("count > 1").isEmpty() and held.join(roots_, "a", "left_semi").isEmpty()
+
+
 def roots(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a, b); the root is the smallest node that links reach.
 
@@ -30,12 +37,8 @@ def roots(edges: DataFrame) -> DataFrame:
     now = written(
         edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), "edges"
     )
-    before = None
-    while True:
+    while not _stars(now):
         now = written(_star(_star(now, True), False), "edges")
-        mark = now.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.sum(F.xxhash64("b", "a") % 1000003)).first()
-        if mark == before:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
-                now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
-            )
-        before = mark
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
+        now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
+    )
