@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.llm import decontaminate, imatch, jaccard, licenses, pieces, quality, sharding, substrings, tokens, urls
+from concord.llm import checks, decontaminate, imatch, jaccard, licenses, pieces, quality, sharding, substrings, tokens, urls
 
 BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 SHARDS = [f"shard-{i:03d}" for i in range(128)]
@@ -72,4 +72,4 @@ QUERIES = {
         op6_ngram_jaccard_join, op7_imatch_fingerprints, op8_suffix_array_dedup, op9_quality_classifier, op10_url_templates,
     ]
 }
-CHECKS: dict[str, str] = {}
+CHECKS = {"op2_benchmark_decontamination": checks.CONTAINMENT, "op10_url_templates": checks.TEMPLATES}
