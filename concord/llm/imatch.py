@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from concord.llm.tables import hash_counts
@@ -24,6 +24,10 @@ SLOTS = 1 << 20
 LOW, HIGH = 0.0005, 0.25
 #: Lexicon parts of each rate: a part keeps each term with the probability 1 / rate.
 RATES, EACH = (1, 4, 16, 32, 64, 128, 256, 512), 12
+SCHEMA = (
+    "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, "
+    "near_next double"
+)
 
 
 def _distinct_terms(column: pa.Array) -> Iterator[np.ndarray]:
@@ -54,35 +58,34 @@ def _seeds() -> np.ndarray:
     return mix(np.arange(1, len(RATES) * EACH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def fingerprint(terms: np.ndarray, band: np.ndarray) -> str:
-    """Four hex digits for each lexicon part; dashes where the document has no term in a part."""
+def hashes(terms: np.ndarray, band: np.ndarray) -> np.ndarray:
+    """A 16-bit hash for each lexicon part; -1 where the document has no term in a part."""
     kept = terms[band[terms & np.uint64(SLOTS - 1)]]
     if not len(kept):
-        return "-" * (4 * len(RATES) * EACH)
+        return np.full(len(RATES) * EACH, -1, np.int32)
     lots = mix(kept[None, :] ^ _seeds()[:, None])
     inside = lots < np.repeat(np.array([(1 << 64) // r - 1 for r in RATES], np.uint64), EACH)[:, None]
     # The terms are sorted and distinct, so equal parts hold equal sequences; a sum tells them apart as well as a hash of
     # the sequence, and needs no loop.
     total = mix(np.where(inside, mix(lots), np.uint64(0)).sum(1, dtype=np.uint64)) >> np.uint64(48)
-    return "".join(f"{int(h):04x}" if any_ else "----" for h, any_ in zip(total, inside.any(1), strict=True))
+    return np.where(inside.any(1), total.astype(np.int32), -1)
+
 
+def fingerprint(found: np.ndarray) -> str:
+    """Four hex digits for each lexicon part; dashes where the document has no term in a part."""
+    return "".join(f"{h:04x}" if h >= 0 else "----" for h in found.tolist())
 
-def likeness(a: Column, b: Column, equal: Column) -> Column:
+
+def likeness(a: np.ndarray, b: np.ndarray, equal: bool) -> float:
     """The best rate's share of equal hashes among parts in which either has terms, one more counted; 1 for equal texts.
 
     The rate at which documents of this length have a term or two in a part tells most, and one rate suits each length.
     """
-    parts_ = F.transform(
-        F.sequence(F.lit(0), F.lit(len(RATES) * EACH - 1)),
-        lambda i: F.struct(a.substr(i * 4 + 1, F.lit(4)).alias("x"), b.substr(i * 4 + 1, F.lit(4)).alias("y")),
-    )
-
-    def share(k: Column) -> Column:
-        told = F.filter(F.slice(parts_, k * EACH + 1, EACH), lambda p: (p.x != "----") | (p.y != "----"))
-        return F.size(F.filter(told, lambda p: p.x == p.y)) / (F.size(told) + 1)
-
-    rates = F.transform(F.sequence(F.lit(0), F.lit(len(RATES) - 1)), share)
-    return F.when(equal, 1.0).otherwise(F.array_max(rates))
+    if equal:
+        return 1.0
+    told = ((a >= 0) | (b >= 0)).reshape(len(RATES), EACH)
+    alike = told & (a == b).reshape(len(RATES), EACH)
+    return float((alike.sum(1) / (told.sum(1) + 1)).max())
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -166,24 +169,17 @@ def fingerprints(docs: DataFrame, ident: str = "doc_id", text: str = "text") ->
             for part in parts(batch, "text"):
                 texts, after = part.column(1).to_pylist(), part.column(2).to_pylist()
                 new = [edited(t, x) for t, x in zip(texts, after, strict=True)]
-                made = [
-                    [fingerprint(t, band.value) for t in _distinct_terms(pa.array(c, pa.string()))] for c in (texts, new, after)
-                ]
+                # Most texts are the next one of another row here, and copies need no second look.
+                each = list(dict.fromkeys([*texts, *new, *after]))
+                terms = _distinct_terms(pa.array(each, pa.large_string()))
+                made = dict(zip(each, (hashes(t, band.value) for t in terms), strict=True))
                 digests = [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in new]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(digests),
-                     *[pa.array(m, pa.string()) for m in made], pa.array([a == b for a, b in zip(texts, new, strict=True)]),
-                     pa.array([a == b for a, b in zip(texts, after, strict=True)])],
-                    names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "nf", "same", "same_next"],
+                    [part.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(digests, pa.string()),
+                     *[pa.array([fingerprint(made[t]) for t in x], pa.string()) for x in (texts, new)],
+                     *[pa.array([likeness(made[t], made[u], t == u) for t, u in zip(texts, x, strict=True)], pa.float64())
+                       for x in (new, after)]],
+                    names=[f.split(" ", 1)[0] for f in SCHEMA.split(", ")],
                 )
 
-    kind = (
-        "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, nf string, "
-        "same boolean, same_next boolean"
-    )
-    made = with_next(rows).mapInArrow(scan, kind)
-    return made.select(
-        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
-        likeness(F.col("fingerprint"), F.col("edited_fingerprint"), F.col("same")).alias("near_edited"),
-        likeness(F.col("fingerprint"), F.col("nf"), F.col("same_next")).alias("near_next"),
-    )
+    return with_next(rows).mapInArrow(scan, SCHEMA)
