@@ -32,7 +32,7 @@ from concord.llm.words import SPACED, mix, parts, shingles, text_bytes, words
 #: Bits of the table that tells which nodes' sets are needed for comparisons.
 NEEDED_BITS = 1 << 26
 #: Signatures that a task collects before it sends them off.
-BLOCK_SIGNATURES = 1 << 20
+BLOCK_SIGNATURES = 1 << 19
 
 
 def _sets(batch: pa.RecordBatch, size: int) -> Iterator[np.ndarray]:
