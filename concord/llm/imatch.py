@@ -8,11 +8,12 @@ from __future__ import annotations
 
 import functools
 import hashlib
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from concord.llm.tables import hash_counts
@@ -24,6 +25,8 @@ SLOTS = 1 << 20
 LOW, HIGH = 0.0005, 0.25
 #: Lexicon parts of each rate: a part keeps each term with the probability 1 / rate.
 RATES, EACH = (1, 4, 16, 32, 64, 128, 256, 512), 12
+#: Terms that are drawn together.
+BLOCK_TERMS = 1 << 14
 SCHEMA = (
     "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, "
     "near_next double"
@@ -55,20 +58,44 @@ def lexicon(docs: DataFrame, text: str = "text") -> np.ndarray:
 
 @functools.cache
 def _seeds() -> np.ndarray:
-    return mix(np.arange(1, len(RATES) * EACH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return mix(np.arange(1, EACH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def hashes(terms: np.ndarray, band: np.ndarray) -> np.ndarray:
-    """A 16-bit hash for each lexicon part; -1 where the document has no term in a part."""
-    kept = terms[band[terms & np.uint64(SLOTS - 1)]]
-    if not len(kept):
-        return np.full(len(RATES) * EACH, -1, np.int32)
-    lots = mix(kept[None, :] ^ _seeds()[:, None])
-    inside = lots < np.repeat(np.array([(1 << 64) // r - 1 for r in RATES], np.uint64), EACH)[:, None]
+def hashes(docs: list[np.ndarray], band: np.ndarray) -> np.ndarray:
+    """A 16-bit hash for each document, by its distinct terms, and lexicon part; -1 where it has no term in a part.
+
+    Each of the EACH draws gives a term one lot, and a part of a higher rate keeps the lowest lots of a part of a lower
+    one. So a term is drawn EACH times, and the parts of one rate stay independent of each other.
+    """
+    found = np.full((len(RATES), EACH * len(docs)), -1, np.int32)
+    terms = np.concatenate([*docs, np.zeros(0, np.uint64)])
+    inside = np.flatnonzero(band[terms & np.uint64(SLOTS - 1)])
+    kept, doc = terms[inside], np.repeat(np.arange(len(docs)), [len(x) for x in docs])[inside]
+    lots = mix(kept[None, :] ^ _seeds()[:, None]).ravel()
+    part = (doc[None, :] + np.arange(EACH)[:, None] * len(docs)).ravel()
     # The terms are sorted and distinct, so equal parts hold equal sequences; a sum tells them apart as well as a hash of
     # the sequence, and needs no loop.
-    total = mix(np.where(inside, mix(lots), np.uint64(0)).sum(1, dtype=np.uint64)) >> np.uint64(48)
-    return np.where(inside.any(1), total.astype(np.int32), -1)
+    values = mix(lots)
+    for rate, own in zip(RATES, found, strict=True):
+        inside = np.flatnonzero(lots <= np.uint64((1 << 64) // rate - 1))
+        if not len(inside):
+            break
+        lots, values, part = lots[inside], values[inside], part[inside]
+        first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+        own[part[first]] = mix(np.add.reduceat(values, first)) >> np.uint64(48)
+    return found.reshape(len(RATES), EACH, len(docs)).transpose(2, 0, 1).reshape(len(docs), len(RATES) * EACH)
+
+
+def _all_hashes(column: pa.Array, band: np.ndarray) -> Iterator[np.ndarray]:
+    """Hashes of each text, worked out for some documents at a time."""
+    some, held = [], 0
+    for terms in _distinct_terms(column):
+        some.append(terms)
+        held += len(terms)
+        if held >= BLOCK_TERMS:
+            yield from hashes(some, band)
+            some, held = [], 0
+    yield from hashes(some, band)
 
 
 def fingerprint(found: np.ndarray) -> str:
@@ -88,8 +115,21 @@ def likeness(a: np.ndarray, b: np.ndarray, equal: bool) -> float:
     return float((alike.sum(1) / (told.sum(1) + 1)).max())
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, next) in descending order of id, the first following the last; rows of one id in order of text, null ids last.
+def _below(cuts: list[int], value: Column) -> Column:
+    """How many of the sorted cuts are smaller than the value: first among every so many, then in the stretch that follows."""
+    step = max(1, math.isqrt(len(cuts)))
+    stretches = [cuts[k : k + step] for k in range(0, len(cuts), step)]
+
+    def longs(some: list[int]) -> Column:
+        return F.array(*[F.lit(c).cast("long") for c in some]).cast("array<bigint>")
+
+    before = F.size(F.filter(longs([x[0] for x in stretches]), lambda c: c < value)) - 1
+    within = F.filter(F.get(F.array(longs([]), *[longs(x) for x in stretches]), before + 1), lambda c: c < value)
+    return F.greatest(before, F.lit(0)) * step + F.size(within)
+
+
+def with_next(docs: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], kind: str) -> DataFrame:
+    """``work`` over (doc_id, text, next) in descending order of id, the first following the last; rows of one id in order of text, null ids last.
 
     Rows are dealt by ranges of ids and sorted there; the first row of each range goes to the range before it as well.
     So texts are shuffled once, and no task holds more than its range.
@@ -99,18 +139,15 @@ def with_next(docs: DataFrame) -> DataFrame:
     ids = docs.select("doc_id")
     asked = ", ".join(str((k + 1) / ranges) for k in range(ranges - 1)) or "0.5"
     cuts = sorted(set(ids.agg(F.expr(f"percentile_approx(doc_id, array({asked}), 10000)")).first()[0] or []))
-    edges = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.expr("cast(array() as array<bigint>)")
     last = len(cuts) + 1  # null ids come after the smallest
-    where = F.when(F.col("doc_id").isNull(), F.lit(last)).otherwise(
-        F.lit(len(cuts)) - F.size(F.filter(edges, lambda c: c < F.col("doc_id")))
-    )
+    where = F.when(F.col("doc_id").isNull(), F.lit(last)).otherwise(F.lit(len(cuts)) - _below(cuts, F.col("doc_id")))
     tops = ids.select(where.alias("range"), "doc_id").groupBy("range").agg(F.max("doc_id").alias("top")).orderBy("range").collect()
     tops = [(r["range"], r["top"]) for r in tops]  # one row for each range
     own = docs.select("doc_id", "text", where.alias("range"), F.lit(False).alias("ghost"))
     moves = [(tops[i][0], tops[i][1], tops[i - 1][0]) for i in range(len(tops))]
     moved = spark.createDataFrame(moves, "range int, top long, to int") if moves else None
     if moved is None:
-        return docs.select("doc_id", "text", F.col("text").alias("next"))
+        return docs.select("doc_id", "text", F.col("text").alias("next")).mapInArrow(work, kind)
     ghosts = docs.select("doc_id", "text", where.alias("range")).join(F.broadcast(moved), "range").where(
         F.col("doc_id").eqNullSafe(F.col("top"))
     ).select("doc_id", "text", F.col("to").alias("range"), F.lit(True).alias("ghost"))
@@ -143,7 +180,7 @@ def with_next(docs: DataFrame) -> DataFrame:
                 if rows:
                     yield out(rows)
 
-    return dealt.mapInArrow(pair, "doc_id long, text string, next string")
+    return dealt.mapInArrow(lambda batches: work(pair(batches)), kind)
 
 
 def edited(text: str, after: str) -> str:
@@ -171,8 +208,7 @@ def fingerprints(docs: DataFrame, ident: str = "doc_id", text: str = "text") ->
                 new = [edited(t, x) for t, x in zip(texts, after, strict=True)]
                 # Most texts are the next one of another row here, and copies need no second look.
                 each = list(dict.fromkeys([*texts, *new, *after]))
-                terms = _distinct_terms(pa.array(each, pa.large_string()))
-                made = dict(zip(each, (hashes(t, band.value) for t in terms), strict=True))
+                made = dict(zip(each, _all_hashes(pa.array(each, pa.large_string()), band.value), strict=True))
                 digests = [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in new]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(digests, pa.string()),
@@ -182,4 +218,4 @@ def fingerprints(docs: DataFrame, ident: str = "doc_id", text: str = "text") ->
                     names=[f.split(" ", 1)[0] for f in SCHEMA.split(", ")],
                 )
 
-    return with_next(rows).mapInArrow(scan, SCHEMA)
+    return with_next(rows, scan, SCHEMA)
