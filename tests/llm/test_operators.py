@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 
 from concord.llm import decontaminate, imatch, jaccard, licenses, pieces, quality, sharding, substrings, suffix, tokens, urls
-from concord.llm.components import roots
+from concord.llm.components import least_reached, roots
 
 ODD = [
     (None, "one two three four five six"), (1, None), (2, ""), (3, " \n\t "), (4, "word"), (5, "one two three four five six"),
@@ -56,6 +56,18 @@ def empty(docs_of, mixed):
     return mixed[1].limit(0)
 
 
+def test_least_reached():
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        n, m = rng.integers(1, 40), rng.integers(0, 40)
+        a, b = rng.integers(0, n, m), rng.integers(0, n, m)
+        want = list(range(n))
+        for _ in range(n):
+            for x, y in zip(a, b):
+                want[x] = want[y] = min(want[x], want[y])
+        assert least_reached(a, b, n).tolist() == want
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7), (100, 101)]
     found = {r.node: r.root for r in roots(spark.createDataFrame(edges, "a long, b long")).collect()}
