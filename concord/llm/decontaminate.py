@@ -27,7 +27,7 @@ def _runs(found: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash and validity of the ``size`` words that start at each word."""
     h, n = found.hash, len(found.hash)
     rolled, valid = h.copy(), np.ones(n, bool)
-    for k in range(1, size):
+    for k in range(1, min(size, n)):
         rolled[: n - k] = mix(rolled[: n - k]) + h[k:]
     if size > 1:
         valid[max(0, n - size + 1) :] = False

@@ -115,7 +115,7 @@ def shingles(found: Words, size: int) -> Iterator[np.ndarray]:
     """Sorted distinct shingle hashes of each row; fewer words than ``size`` make one shingle, none make none."""
     h = found.hash
     rolled = h.copy()
-    for k in range(1, size):
+    for k in range(1, min(size, len(h))):
         rolled[: len(h) - k] = mix(rolled[: len(h) - k]) + h[k:]
     rolled = mix(rolled)
     at = 0

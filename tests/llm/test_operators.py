@@ -9,10 +9,12 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from concord.llm import decontaminate, imatch, jaccard, licenses, pieces, quality, sharding, substrings, suffix, tokens, urls
 from concord.llm.components import least_reached, roots
+from concord.llm.words import SPACED, shingles, text_bytes, words
 
 ODD = [
     (None, "one two three four five six"), (1, None), (2, ""), (3, " \n\t "), (4, "word"), (5, "one two three four five six"),
@@ -176,6 +178,27 @@ def test_containment(spark, docs_of):
     assert {(r.doc_id, r.item_id): (r.n_shingles, r.n_shared) for r in got} == want
 
 
+def test_texts_alone_in_a_slice(spark):
+    """A slice of one short text is worked out like the same text among others."""
+    texts = ["a b c d e f"[:n] for n in range(0, 12)]
+    for size in (2, 3, 5, 9):
+        data, offsets = text_bytes(pa.array(texts))
+        together = [s.tolist() for s in shingles(words(data, offsets, SPACED), size)]
+        for text, want in zip(texts, together, strict=True):
+            found = words(*text_bytes(pa.array([text])), SPACED)
+            assert [s.tolist() for s in shingles(found, size)] == [want]
+            assert decontaminate._runs(found, size)[1].sum() == max(0, len(text.split()) - size + 1)
+
+    rows = [(n, " ".join("abcdef"[:n])) for n in range(1, 7)]
+    alone = spark.createDataFrame(spark.sparkContext.parallelize(rows, len(rows)), "doc_id long, text string")
+    assert [len(p) for p in alone.rdd.glom().collect()] == [1] * len(rows)
+    items = alone.withColumnRenamed("doc_id", "item_id")
+    held = {(r.doc_id, r.item_id) for r in decontaminate.contained(alone, items).collect()}
+    assert held == {(d, i) for d in range(1, 7) for i in range(1, d + 1) if i < 6 or d == 6}
+    groups = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_groups(alone, size=5).collect()}
+    assert groups == {n: (max(1, n - 4), n) for n in range(1, 7)}
+
+
 def test_licenses(docs_of):
     rows = [
         (1, "Relesed under teh MIT License."), (2, "Licensed under CC BY-NC 4"), (3, "the GNU General\nPublic License"), (4, None),
