@@ -284,6 +284,69 @@ def test_urls(spark):
     assert got[2].verdict == "block" and got[1].verdict == "allow" and got[None].verdict in ("allow", "block")
 
 
+def plain_templates(pages):
+    """Template and share of (host, path, ruled) pages, one segment after the other."""
+    labels = [r for _, _, r in pages if r]
+    prior = labels.count("allow") / len(labels) if labels else 0.5
+    out = {}
+
+    def descend(group, prefix, held):
+        """``group``: the segments not looked at yet and ruling of each page number."""
+        own = [r for _, r in group.values() if r]
+        held = (len(own), own.count("allow")) if own and prefix else held
+        for i in [i for i, (rest, _) in group.items() if not rest]:
+            out[i] = (prefix, (held[1] + urls.PRIOR_WEIGHT * prior) / (held[0] + urls.PRIOR_WEIGHT))
+        group = {i: g for i, g in group.items() if g[0]}
+        nodes: dict = {}
+        for segment in {rest[0] for rest, _ in group.values()}:
+            mine = [r for rest, r in group.values() if rest[0] == segment]
+            a, b = [r for r in mine if r], [r for rest, r in group.values() if r and rest[0] != segment]
+            node = "*"
+            if a and b and not (len(mine) == 1 and len(group) >= urls.MANY_SIBLINGS):
+                p = (a + b).count("allow") / len(a + b)
+                apart = a.count("allow") / len(a) - b.count("allow") / len(b)
+                if apart * apart > urls.STANDARD_ERRORS ** 2 * p * (1 - p) * (1 / len(a) + 1 / len(b)):
+                    node = segment
+            node = "" if prefix and segment == "" else node
+            nodes.setdefault(node, {}).update({i: (rest[1:], r) for i, (rest, r) in group.items() if rest[0] == segment})
+        for node, under in nodes.items():
+            descend(under, f"{prefix}/{node}", held)
+
+    trees: dict = {}
+    for i, (host, path, ruled) in enumerate(pages):
+        segments = [re.sub(".*[0-9].*", "*", s) for s in path[1:].split("/")]
+        trees.setdefault((host, tuple(map(bool, segments[1:]))), {})[i] = (segments, ruled)
+    for group in trees.values():
+        descend(group, "", (0, 0))
+    return out
+
+
+def test_url_tree(spark):
+    """Every depth of the tree against a plain descent; word slugs below the first segment are generalised."""
+    rng = random.Random(8)
+    words = ["fr", "de", "es", "en", "blog", "news", "", "1a", "2b", "x", "y"]
+    tails = [[], ["x"], ["y"], ["x", "y"], ["x", "x", "y"], ["y", ""], ["", "x"]]
+    found = []
+    for i in range(900):
+        host = rng.choice(["a.com", "b.com", "c.example.org", "example.org", "d.net"])
+        first, second = rng.choice(words), rng.choice([*words, f"slug{'abcdefgh'[i % 8]}{'ijklmnop'[i // 8 % 8]}"])
+        found.append((host, "/" + "/".join([first, second][: rng.randint(1, 2)] + rng.choice(tails))))
+    # Under /en/ of one host blocked pages end in x and allowed ones in y: they part at the third and fourth segment.
+    found += [("e.example.org", f"/en/{n}{i}/{end}") for i in range(15) for n, end in ((1, "bad"), (2, "good"), (1, "z/bad"), (2, "z/good"))]
+    # Slugs are seen once each; those without a rule are judged by the labelled ones beside them.
+    slugs = ["".join(rng.choices("abcdefgh", k=9)) for _ in range(60)]
+    found += [("f.com", f"/{'de' if i % 2 else 'blog'}/{s}") for i, s in enumerate(slugs)]
+    rows = [(i, f"http://{h}{p}") for i, (h, p) in enumerate(found)]
+    got = {r.page_id: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    ruled = [(h, p, got[i].verdict if got[i].rule else None) for i, (h, p) in enumerate(found)]
+    want = plain_templates(ruled)
+    assert {i: got[i].template for i in got} == {i: t for i, (t, _) in want.items()}
+    assert all(abs(got[i].share - s) < 1e-9 for i, (_, s) in want.items())
+    at = {p: got[i] for i, (h, p) in enumerate(found) if h in ("e.example.org", "f.com")}
+    assert at["/en/10/bad"].template == "/*/*/bad" and at["/en/20/z/good"].template == "/*/*/*/good"
+    assert {at[f"/blog/{s}"].template for s in slugs[::2]} == {"/*/*"} and {at[f"/blog/{s}"].verdict for s in slugs[::2]} == {"block"}
+
+
 def test_empty_tables(spark, empty):
     path = public_tokenizers.path
     items = spark.createDataFrame([], "item_id long, text string")
