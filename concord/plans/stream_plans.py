@@ -34,14 +34,12 @@ def _feedback(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _daily(spark: SparkSession, sf: str) -> DataFrame:
-    """Runs to the end of the table; days the watermark has not passed stay open and are left out."""
+    """Runs to the end of the table; days the watermark has not passed yet count with what has come."""
     path = fresh_path(spark, "stream_daily")
     rows = _events(spark, sf).selectExpr(
         "ts AS created_at", f"{DOMAIN} AS domain", "concat('C', event_id) AS record_id", "least(value, 100D) AS record_score")
-    query = (jobs.daily_scores(rows).writeStream.outputMode("append").format("parquet")
-             .option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start(f"{path}/data"))
-    jobs.finished(query)
-    return rounded(spark.read.parquet(f"{path}/data")).drop("approx_records")
+    jobs.finished(jobs.keep_daily(jobs.daily_scores(rows), f"{path}/data", f"{path}/checkpoint"))
+    return rounded(jobs.daily_of(spark, f"{path}/data")).drop("approx_records")
 
 
 def _gate(spark: SparkSession, sf: str) -> DataFrame:

@@ -42,6 +42,26 @@ def daily_scores(scores: DataFrame, late: str = LATE) -> DataFrame:
     )
 
 
+def keep_daily(daily: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Write the days and domains that each micro-batch changed, one folder per batch; open days are among them.
+
+    A row holds the totals of its day so far, so the one of the newest batch stands for the day (:func:`daily_of`). A
+    batch that is run again overwrites its own folder.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return (daily.writeStream.outputMode("update").foreachBatch(write)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+
+def daily_of(spark: SparkSession, path: str) -> DataFrame:
+    """The newest row of each day and domain."""
+    rows = spark.read.parquet(path)
+    row = F.struct(*[c for c in rows.columns if c != "batch"])
+    return rows.groupBy("metric_date", "domain").agg(F.max_by(row, "batch").alias("row")).select("row.*")
+
+
 def keep_newest_feedback(feedback: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Write the newest feedback of each explanation per micro-batch, one folder per batch.
 

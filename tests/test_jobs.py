@@ -17,10 +17,11 @@ from concord.operators import scoring as sc
 from concord.operators import signals as si
 from concord.operators.evidence import evidence_text
 from concord.operators.feedback import latest_feedback
-from concord.plans import policy_plans
+from concord.plans import policy_plans, stream_plans
 from concord.plans.matching_plans import MAPPING
 from concord.sources import tables
 from concord.sources.shaped import shaped, spread
+from concord.streaming import jobs
 
 DATA = "/root/testdata/sf0.001"
 AS_OF = dt.datetime(2001, 11, 5)
@@ -247,3 +248,40 @@ def test_ticket_of_an_npi_reuse(spark):
     t = governance_tickets(df).first()
     assert t.summary == "Governance Review Required: Npi Reuse Detected (HIGH Risk / Review Required)"
     assert t.labels[-1] == "npi-reuse-detected" and 'Record A: {"npi":"1887004555"}' in t.description
+
+
+def test_daily_scores_keep_open_days(spark, tmp_path):
+    """Three micro-batches, a run without new rows and a late fourth batch: every event of every day counts once."""
+    kind = "created_at timestamp, domain string, record_id string, record_score double"
+    start = dt.datetime(2024, 1, 1)
+    seen = []
+
+    def arrive(k, hours):
+        new = [(start + dt.timedelta(hours=h), "ab"[h % 2], f"r{h}", float(h * 7 % 100)) for h in hours]
+        seen.extend(new)
+        spark.createDataFrame(new, kind).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+
+    def run():
+        rows = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+        jobs.finished(jobs.keep_daily(jobs.daily_scores(rows), f"{tmp_path}/out", f"{tmp_path}/checkpoint"))
+        got = {(r.metric_date, r.domain): r for r in jobs.daily_of(spark, f"{tmp_path}/out").collect()}
+        want, ids = {}, {}
+        for at, domain, record, score in seen:
+            want.setdefault((at.date(), domain.upper()), []).append(score)
+            ids.setdefault((at.date(), domain.upper()), set()).add(record)
+        assert {k: (r.total_records, r.min_record_score, r.max_record_score) for k, r in got.items()} == {
+            k: (len(v), min(v), max(v)) for k, v in want.items()}
+        assert all(abs(r.avg_record_score - sum(want[k]) / len(want[k])) < 1e-9 for k, r in got.items())
+        assert all(abs(r.approx_records - len(ids[k])) <= 0.15 * len(ids[k]) for k, r in got.items())
+
+    for k, hours in enumerate([range(0, 30), range(20, 60), range(50, 90)]):
+        arrive(k, hours)
+    run()
+    run()
+    arrive(3, range(80, 100))
+    run()
+
+
+def test_stream_dq_daily_counts_every_event(spark):
+    got = stream_plans.QUERIES["stream_dq_daily"](spark, DATA).agg(F.sum("total_records")).first()[0]
+    assert got == spark.read.parquet(f"{DATA}/events.parquet").count()
