@@ -55,28 +55,33 @@ def _blocks(records: DataFrame, m: ColumnMapping) -> Column:
 
 
 def candidate_pairs(records: DataFrame, mapping: ColumnMapping, hot_block: int = HOT_BLOCK) -> DataFrame:
-    """Each record paired with the first record of every block it is in.
+    """Every two records that share a block, where records equal in all mapped fields stand for each other.
 
-    One pair per record and block, and not every two records of a block: the result grows
-    with the table however large a block is, and all records of a block stay connected
-    through its first one. ``blocks`` lists the kinds of key the two share.
+    Equal records score alike with any third one, so only the one of smallest id (the first) meets the other
+    records of its blocks; each further copy is paired with its first. The result grows with the table in
+    copies, and with the square of the different records of a block. ``blocks`` lists the kinds of key the two share.
 
-    The first record of a block is a minimum, combined on the map side. Blocks above
-    ``hot_block`` records are few (at most records / hot_block), so their keys go out by
-    broadcast; records in them carry a salt, and the first record of such a block is handed
-    to every salt. No task gets a whole hot block.
+    Blocks above ``hot_block`` different records are few (at most records / hot_block), so their keys go out by
+    broadcast; the smaller id of a pair carries a salt, and the larger one is handed to every salt.
+    No task gets a whole hot block.
     """
     pk = F.col(mapping.primary_key).cast("string")
-    keyed = records.select(pk.alias("id"), F.explode(_blocks(records, mapping)).alias("block"))
-    heads = keyed.groupBy("block").agg(F.min("id").alias("first_id"), F.count("*").alias("n")).where(F.col("n") > 1)
-    hot = heads.where(F.col("n") > hot_block).select(F.col("block").alias("hot"))
-    salt = F.when(F.col("hot").isNotNull(), F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(F.lit(0))
-    salted = keyed.join(F.broadcast(hot), F.col("block") == F.col("hot"), "left").withColumn("salt", salt).drop("hot")
-    salts = F.when(F.col("n") > hot_block, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    first = heads.select("block", "first_id", F.explode(salts.cast("array<bigint>")).alias("salt"))
-    links = salted.join(first, ["block", "salt"]).where(F.col("id") != F.col("first_id"))
-    return links.groupBy(F.col("first_id").alias("a_id"), F.col("id").alias("b_id")).agg(
-        F.array_join(F.array_sort(F.collect_set("block.kind")), ",").alias("blocks"))
+    compared = F.struct(*[F.col(c).alias(k) for k, c in mapping.fields().items()])
+    told = records.select(pk.alias("id"), compared.alias("compared"), _blocks(records, mapping).alias("blocks")).where(F.size("blocks") > 0)
+    firsts = told.groupBy("compared").agg(F.min("id").alias("first_id"), F.first("blocks").alias("blocks"))
+    same = told.drop("blocks").join(firsts, told["compared"].eqNullSafe(firsts["compared"])).where(F.col("id") != F.col("first_id"))
+    copies = same.select(F.col("first_id").alias("a_id"), F.col("id").alias("b_id"), F.explode("blocks.kind").alias("kind"))
+
+    keyed = firsts.select(F.col("first_id").alias("id"), F.explode("blocks").alias("block"))
+    sizes = keyed.groupBy("block").agg(F.count("*").alias("n")).where(F.col("n") > hot_block)
+    marked = keyed.join(F.broadcast(sizes.select(F.col("block").alias("hot"))), F.col("block") == F.col("hot"), "left")
+    hot = F.col("hot").isNotNull()
+    salt = F.when(hot, F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(F.lit(0).cast("bigint"))
+    salts = F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))).cast("array<bigint>")
+    small = marked.select(F.col("id").alias("a_id"), "block", salt.alias("salt"))
+    large = marked.select(F.col("id").alias("b_id"), "block", F.explode(salts).alias("salt"))
+    links = small.join(large, ["block", "salt"]).where(F.col("a_id") < F.col("b_id")).select("a_id", "b_id", "block.kind")
+    return links.unionByName(copies).groupBy("a_id", "b_id").agg(F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("blocks"))
 
 
 def pair_records(pairs: DataFrame, records: DataFrame, mapping: ColumnMapping, domain: str) -> DataFrame:

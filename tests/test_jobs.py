@@ -145,6 +145,36 @@ def test_one_hot_block_gives_one_pair_per_record(spark):
     assert si.identifier_signals(pairs).where("member_id_score = 1").count() == 1999
 
 
+def test_copies_that_differ_from_the_first_of_their_block_meet(spark):
+    kind = "id string, m string, first string, last string, email string"
+    rows = [("1", "M", "Ann", "Knight", None), ("2", "M", "Bob", "Night", None), ("3", "M", "Bob", "Night", None),
+            ("4", "M", "Bob", "Nite", "b@x.org"), ("5", "N", "Bo", "Night", "b@x.org"), ("6", None, "Bob", "Night", None), ("7", None, "Bob", "Night", None)]
+    mapping = ca.ColumnMapping("id", identifier="m", first_name="first", last_name="last", email="email")
+    for hot in (1_000_000, 0):
+        got = {(r.a_id, r.b_id): r.blocks for r in ca.candidate_pairs(spark.createDataFrame(rows, kind), mapping, hot).collect()}
+        # 3 equals 2, which stands for it against 1 and 4; 6 and 7 have no key.
+        assert got == {("1", "2"): "identifier", ("2", "3"): "identifier", ("1", "4"): "identifier", ("2", "4"): "identifier", ("4", "5"): "email"}
+
+
+def test_every_two_records_of_a_block_are_paired(spark):
+    records = shaped(spark, DATA, "match_pairs")
+    compared = list(MAPPING.fields().values())
+    rows = records.select("a_id", *compared, ca._blocks(records, MAPPING).alias("blocks")).collect()
+    first, members = {}, {}
+    for r in rows:
+        content = tuple(r[c] for c in compared)
+        first[content] = min(r.a_id, first.get(content, r.a_id))
+    stands = {r.a_id: first[tuple(r[c] for c in compared)] for r in rows}
+    for r in rows:
+        for block in r.blocks:
+            members.setdefault(tuple(block), set()).add(r.a_id)
+    got = {(r.a_id, r.b_id) for r in ca.candidate_pairs(records, MAPPING).collect()}
+    for ids in members.values():
+        for a in ids:
+            assert a == stands[a] or (stands[a], a) in got
+            assert all(stands[a] == stands[b] or (min(stands[a], stands[b]), max(stands[a], stands[b])) in got for b in ids)
+
+
 def test_rules_match_without_ids(spark):
     """Duplicate and NULL ids, and a policy of 5,000 rules, give each pair its own rules."""
     rules = [(f"id{i}", "CUSTOMER", "v1", f"R{i % 2500}", float(i % 7), "HIGH", "Y") for i in range(5000)] + [
