@@ -1,10 +1,10 @@
-"""Benchmark decontamination: documents that contain a benchmark item, by MinHash containment within size classes.
+"""Benchmark decontamination: documents that contain a benchmark item, by an exact join of shingles.
 
-Items are partitioned by the number of their shingles. A document that holds the share ``num / den`` of an item's n
-shingles lacks so few that it must hold one of the n - ceil(share * n) + 1 shingles of smallest hash, so these form the
-item's sketch: longer items of a class have longer sketches, and no item is missed. The table of all items'
-shingles has a fixed size; each document's shingles are looked up there in one pass, and only hits leave the task. Hits of
-sketches give candidates, which are verified by exact containment of the shingles' words.
+The table of all items' shingles has a fixed size; each document's shingles are looked up there in one pass, and only hits
+leave the task. Hits meet the items' shingles by their words, and the shared ones are counted for each document and item.
+That join stands in place of MinHash sketches within size classes: a document that holds the share ``num / den`` of an
+item's n shingles holds one of its n - ceil(share * n) + 1 shingles of smallest hash anyway, so the mark of these drops
+nothing after the count, and neither does the size class. A shingle of many items and many documents gives a row for each two.
 """
 
 from __future__ import annotations
