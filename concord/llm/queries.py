@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.llm import checks, decontaminate, imatch, jaccard, licenses, pieces, quality, sharding, substrings, tokens, urls
+from concord.llm import (
+    chat, checks, decontaminate, imatch, jaccard, licenses, pieces, quality, ranking, repair, sharding, substrings, tokens, urls,
+)
 
 BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 SHARDS = [f"shard-{i:03d}" for i in range(128)]
@@ -65,11 +67,29 @@ def op10_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_read(spark, sf_dir, "pages"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "conversations")
+    return repair.with_all(repair.report(repair.repaired(repair.damaged(rows))), rows)
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.ranked(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), 10)
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chat.with_turns(_read(spark, sf_dir, "conversations"), -1, [(r, "</s>[INST] ok [/INST]") for r in ("user", "assistant")])
+    return chat.digests(chat.formatted(rows))
+
+
 QUERIES = {
     f.__name__: f
     for f in [
         op1_maglev_sharding, op2_benchmark_decontamination, op3_license_scan, op4_token_counts, op5_sentencepiece,
         op6_ngram_jaccard_join, op7_imatch_fingerprints, op8_suffix_array_dedup, op9_quality_classifier, op10_url_templates,
+        op11_conversation_repair, op12_ranked_search, op13_chat_format,
     ]
 }
-CHECKS = {"op2_benchmark_decontamination": checks.CONTAINMENT, "op10_url_templates": checks.TEMPLATES}
+CHECKS = {
+    "op2_benchmark_decontamination": checks.CONTAINMENT, "op10_url_templates": checks.TEMPLATES, "op11_conversation_repair": checks.REPAIR,
+    "op12_ranked_search": checks.RANKED, "op13_chat_format": checks.CHAT,
+}
