@@ -1,14 +1,13 @@
 """String similarity that Spark lacks, as Arrow-batched functions.
 
-The scoring helpers work on one pair of plain strings. The column functions feed them
-whole Arrow batches and score every distinct pair of a batch once, since names and
-addresses repeat heavily. NULL counts as an empty string.
+Blank and equal sides are answered in the JVM. The others reach the kernels as whole Arrow batches, which score every
+distinct pair of a batch once, since names and addresses repeat heavily. NULL counts as an empty string.
 """
 
 from __future__ import annotations
 
 import sys
-from difflib import SequenceMatcher
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -18,175 +17,81 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from concord.functions import kernels
+
 # Ship the helpers inside the function, so that executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
+cloudpickle.register_pickle_by_value(kernels)
+
+Kernel = Callable[[list[str], list[str], np.ndarray, np.ndarray], np.ndarray]
 
-# Fixed values of the Winkler variant: the prefix counts only above this plain score.
-BOOST_ABOVE = 0.7
-PREFIX_WEIGHT = 0.1
-PREFIX_MAX = 4
-
-
-def jaro(a: str, b: str) -> float:
-    if not a or not b:
-        return 0.0
-    if a == b:
-        return 1.0
-    reach = max(max(len(a), len(b)) // 2 - 1, 0)
-    taken = [False] * len(b)
-    hits_a = []
-    for i, ch in enumerate(a):
-        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
-            if not taken[j] and b[j] == ch:
-                taken[j] = True
-                hits_a.append(ch)
-                break
-    m = len(hits_a)
-    if m == 0:
-        return 0.0
-    hits_b = [ch for ch, t in zip(b, taken) if t]
-    swaps = sum(x != y for x, y in zip(hits_a, hits_b)) // 2
-    return (m / len(a) + m / len(b) + (m - swaps) / m) / 3.0
-
-
-def jaro_winkler_pair(a: str, b: str) -> float:
-    score = jaro(a, b)
-    if score > BOOST_ABOVE:
-        prefix = 0
-        for x, y in zip(a[:PREFIX_MAX], b[:PREFIX_MAX]):
-            if x != y:
-                break
-            prefix += 1
-        score += prefix * PREFIX_WEIGHT * (1.0 - score)
-    return score
-
-
-def common_subsequence(a: str, b: str) -> int:
-    """Length of the longest common subsequence, one machine word per row of the table."""
-    where: dict[str, int] = {}
-    for i, ch in enumerate(a):
-        where[ch] = where.get(ch, 0) | (1 << i)
-    full = (1 << len(a)) - 1
-    row = full
-    for ch in b:
-        hit = row & where.get(ch, 0)
-        row = ((row + hit) | (row - hit)) & full
-    return len(a) - row.bit_count()
-
-
-def indel_ratio(a: str, b: str) -> float:
-    total = len(a) + len(b)
-    return 100.0 if total == 0 else 200.0 * common_subsequence(a, b) / total
-
-
-def best_window_ratio(a: str, b: str) -> float:
-    """Best ratio of the shorter text against any window of the longer one."""
-    short, long = (a, b) if len(a) <= len(b) else (b, a)
-    n = len(short)
-    if n == 0:
-        return 0.0
-    if short in long:
-        return 100.0
-    ends = [long[:k] for k in range(1, n)] + [long[-k:] for k in range(1, n)]
-    windows = set(ends) | {long[i : i + n] for i in range(len(long) - n + 1)}
-    best = max(indel_ratio(short, w) for w in windows)
-    if len(long) == n:
-        best = max(best, max(indel_ratio(long, w) for w in [short[:k] for k in range(1, n + 1)] + [short[-k:] for k in range(1, n)]))
-    return best
-
-
-def _token_ratio(a: str, b: str) -> float:
-    words_a, words_b = a.split(), b.split()
-    ordered = indel_ratio(" ".join(sorted(words_a)), " ".join(sorted(words_b)))
-    set_a, set_b = set(words_a), set(words_b)
-    if not set_a or not set_b:
-        return ordered
-    both = set_a & set_b
-    only_a, only_b = " ".join(sorted(set_a - both)), " ".join(sorted(set_b - both))
-    if both and (not only_a or not only_b):
-        return 100.0
-    shared = len(" ".join(both))
-    gap = 1 if shared else 0
-    len_a, len_b = shared + gap + len(only_a), shared + gap + len(only_b)
-    edits = len(only_a) + len(only_b) - 2 * common_subsequence(only_a, only_b)
-    best = 100.0 * (1 - edits / (len_a + len_b))
-    if shared:
-        best = max(best, 100.0 * 2 * shared / (shared + len_a), 100.0 * 2 * shared / (shared + len_b))
-    return max(ordered, best)
-
-
-def _token_window_ratio(a: str, b: str) -> float:
-    words_a, words_b = a.split(), b.split()
-    set_a, set_b = set(words_a), set(words_b)
-    both = set_a & set_b
-    if both:
-        return 100.0
-    best = best_window_ratio(" ".join(sorted(words_a)), " ".join(sorted(words_b)))
-    if len(words_a) == len(set_a) and len(words_b) == len(set_b):
-        return best
-    return max(best, best_window_ratio(" ".join(sorted(set_a)), " ".join(sorted(set_b))))
-
-
-def weighted_ratio_pair(a: str, b: str) -> float:
-    """0 to 100: the best of the plain, word-order-free and window ratios, each scaled down."""
-    if not a or not b:
-        return 0.0
-    if a == b:
-        return 100.0
-    plain = indel_ratio(a, b)
-    spread = max(len(a), len(b)) / min(len(a), len(b))
-    if spread < 1.5:
-        return max(plain, 0.95 * _token_ratio(a, b))
-    scale = 0.9 if spread <= 8.0 else 0.6
-    return max(plain, scale * best_window_ratio(a, b), 0.95 * scale * _token_window_ratio(a, b))
-
-
-def sequence_ratio_pair(a: str, b: str) -> float:
-    if a == b:
-        return 1.0
-    if not a or not b:
-        return 0.0
-    return SequenceMatcher(None, a, b).ratio()
-
-
-def _scored(fn, left: pa.Array, right: pa.Array) -> pa.Array:
-    """Scores of two columns; only the distinct pairs of the batch become Python strings."""
+
+def _scored(kernel: Kernel, left: pa.Array, right: pa.Array) -> pa.Array:
+    """Scores of two columns; the kernel gets the distinct texts of either side and the distinct pairs of their numbers."""
     coded = [pc.fill_null(c.cast(pa.string()), "").dictionary_encode() for c in (left, right)]
     words = [c.dictionary.to_pylist() for c in coded]
-    i, j = (c.indices.to_numpy(zero_copy_only=False).astype("int64") for c in coded)
+    i, j = (c.indices.to_numpy(zero_copy_only=False).astype(np.int64) for c in coded)
     keys, back = np.unique(i * max(len(words[1]), 1) + j, return_inverse=True)
-    scores = np.array([fn(words[0][k // len(words[1])], words[1][k % len(words[1])]) for k in keys.tolist()], dtype="float64")
-    return pa.array(scores[back] if len(scores) else np.zeros(0))
+    if not len(keys):
+        return pa.array(np.zeros(0))
+    return pa.array(kernel(*words, keys // len(words[1]), keys % len(words[1]))[back])
+
+
+def _four_digits(scores: np.ndarray) -> np.ndarray:
+    """Rounded as Python rounds: by the exact value of the double."""
+    return np.array([round(x, 4) for x in scores.tolist()], np.float64)
+
+
+def jaro_winkler_of(left: list[str], right: list[str], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    a, b = kernels.coded(left, right)
+    return _four_digits(kernels.jaro_winkler(a.take(i), b.take(j)))
+
+
+def weighted_ratio_of(left: list[str], right: list[str], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    return _four_digits(kernels.weighted_ratio(left, right, i, j) / 100.0)
+
+
+def sequence_ratio_of(left: list[str], right: list[str], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    a, b = kernels.coded(left, right)
+    return kernels.sequence_ratio(a.take(i), b.take(j))
 
 
 @F.arrow_udf(T.DoubleType())
 def _jaro_winkler(left: pa.Array, right: pa.Array) -> pa.Array:
-    return _scored(lambda a, b: round(jaro_winkler_pair(a, b), 4), left, right)
+    return _scored(jaro_winkler_of, left, right)
 
 
 @F.arrow_udf(T.DoubleType())
 def _weighted_ratio(left: pa.Array, right: pa.Array) -> pa.Array:
-    return _scored(lambda a, b: round(weighted_ratio_pair(a, b) / 100.0, 4), left, right)
+    return _scored(weighted_ratio_of, left, right)
 
 
 @F.arrow_udf(T.DoubleType())
 def _sequence_ratio(left: pa.Array, right: pa.Array) -> pa.Array:
-    return _scored(sequence_ratio_pair, left, right)
+    return _scored(sequence_ratio_of, left, right)
+
+
+def _compared(score: Callable, left: Column, right: Column, blank: float, both_blank: float) -> Column:
+    """``score`` of two texts where neither is blank and they differ; such pairs alone reach Python with their texts."""
+    some = lambda c: F.coalesce(c, F.lit("")) != ""
+    open_ = some(left) & some(right) & (left != right)
+    asked = score(F.when(open_, left), F.when(open_, right))
+    return F.when(open_, asked).when(some(left) & some(right), 1.0).when(some(left) | some(right), blank).otherwise(both_blank)
 
 
 def jaro_winkler(left: Column, right: Column) -> Column:
     """Jaro-Winkler similarity to 4 digits; 0 when a side is NULL or empty."""
-    return _jaro_winkler(left, right)
+    return _compared(_jaro_winkler, left, right, 0.0, 0.0)
 
 
 def weighted_ratio(left: Column, right: Column) -> Column:
     """Weighted fuzzy ratio between 0 and 1, to 4 digits; 0 when a side is NULL or empty."""
-    return _weighted_ratio(left, right)
+    return _compared(_weighted_ratio, left, right, 0.0, 0.0)
 
 
 def sequence_ratio(left: Column, right: Column) -> Column:
     """Matching-block ratio between 0 and 1; two empty texts are equal."""
-    return _sequence_ratio(left, right)
+    return _compared(_sequence_ratio, left, right, 0.0, 1.0)
 
 
 def register(spark: SparkSession) -> None:

@@ -113,7 +113,7 @@ def identifier_signals(pairs: DataFrame, trust: Mapping[str, float] | None = Non
     })
 
 
-def _texts(f: Sides, dom: Column, scored: Column, s: str) -> dict[str, Column]:
+def compared_texts(f: Sides, dom: Column, scored: Column, s: str) -> dict[str, Column]:
     """The texts one side brings to the fuzzy comparisons; NULL where its domain compares none."""
     joined = lambda *names: strip(F.concat_ws(" ", *[F.coalesce(f(s, n), F.lit("")) for n in names]))
     only = lambda d, c: F.when(dom == d, folded(c))
@@ -159,7 +159,7 @@ def pair_signals(pairs: DataFrame, trust: Mapping[str, float] | None = None) ->
     df = df.withColumn("provider_scored", (dom == "PROVIDER") & (mail("a") != "") & (mail("b") != ""))
     scored = F.col("provider_scored")
     f = Sides(df)
-    texts = {s: _texts(f, dom, scored, s) for s in ("a", "b")}
+    texts = {s: compared_texts(f, dom, scored, s) for s in ("a", "b")}
     # The picked texts get columns of their own, so that each is computed once.
     df = df.withColumns({f"_{s}_{k}": v for s in ("a", "b") for k, v in texts[s].items()})
     t = lambda k: (F.col(f"_a_{k}"), F.col(f"_b_{k}"))

@@ -13,8 +13,10 @@ from concord.operators.evidence import EVIDENCE, evidence_text
 from concord.operators.payload import normalize_payload
 from concord.operators.signals import ENTITY_ID_FIELDS
 from concord.plans import explain as ex
+from concord.plans import match_run as run
 from concord.plans.checks import check, half_up
 from concord.plans.feedback_plans import AS_OF, history
+from concord.plans.matching_plans import MAPPING
 from concord.plans.policy_plans import tables
 from concord.plans.quality_plans import rounded
 from concord.sources.shaped import shaped, spread
@@ -54,6 +56,14 @@ def _timeline(s, d):
     return rounded(co.one_row_per_entry(df, "evidence_timeline").drop("detail"))
 
 
+def _run(s, d):
+    """The batch run over one side of the pairs, under the customer policy."""
+    out = run.match_run(shaped(s, d, "match_pairs"), run.RunConfig(MAPPING, context_id="nightly"), *tables(s, d), history(s, d), AS_OF)
+    return rounded(out.select(
+        "pair_id", "blocks", "bound", "match_score", "posture", "policy_version", "policy_status", "recommendation", "composite_risk_score",
+        "decision_confidence_score", "automation_tier", "postal_match_level", F.array_join("triggered_rules", ",").alias("triggered_rules"), "context_id"))
+
+
 def _log(s, d):
     return ex.explanation_log(_explained(s, d), AS_OF).withColumn("triggered_rules", F.array_join("triggered_rules", ","))
 
@@ -92,6 +102,7 @@ QUERIES = {
         "automation_policy_status", "estimated_false_positive_risk"),
     "evidence_timeline": _timeline,
     "match_explain": _explain,
+    "match_run": _run,
     "member_id_rule": lambda s, d: co.add_member_id_rule(shaped(s, d, "scored_pairs")).select(
         "pair_id", F.array_join("triggered_rules", ",").alias("triggered_rules")),
     "stage_gate": _gate,

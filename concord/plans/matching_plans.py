@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from concord.functions.ladders import SOURCE_TRUST
-from concord.functions.text import SPACED_SUFFIXES
+from concord.functions.text import BUSINESS_HOSTS, PUBLIC_HOSTS, SPACED_SUFFIXES
 from concord.operators import address as ad
 from concord.operators import candidates as ca
 from concord.operators import names as na
@@ -132,6 +132,13 @@ def _trust(a: str, b: str) -> str:
     return f"round((({one(a)}) + ({one(b)})) / 2e0 - abs(({one(a)}) - ({one(b)})) * 0.25e0, 4)"
 
 
+def _host_trust(c: str) -> str:
+    host = f"trim(split_part({_n(c)}, '@', 2))"
+    listed = lambda names: ", ".join(f"'{n}'" for n in names)
+    return (f"CASE WHEN {host} IN ({listed(BUSINESS_HOSTS)}) THEN 1.1e0 WHEN ends_with({host}, '.edu') THEN 1.05e0 "
+            f"WHEN {host} IN ({listed(PUBLIC_HOSTS)}) THEN 0.95e0 ELSE 1e0 END")
+
+
 def _addr(c: str) -> str:
     v = _n(c)
     for word, short in SPACED_SUFFIXES.items():
@@ -216,13 +223,26 @@ PRODUCT = {
 }
 
 CHECKS = {
-    "candidate_pairs": check(["match_pairs"], """SELECT first_id AS a_id, id AS b_id, string_agg(DISTINCT kind, ',' ORDER BY kind) AS blocks
-      FROM keyed JOIN (SELECT kind, key, min(id) AS first_id FROM keyed GROUP BY 1, 2) USING (kind, key) WHERE id <> first_id GROUP BY 1, 2""",
-        {**_phonetic_ctes("match_pairs", {"sound": "a_last_name"}, "a_id, a_member_id, a_email, a_address"),
+    "candidate_pairs": check(["match_pairs"], f"""SELECT a_id, b_id, blocks, {half_up("""CASE WHEN dob = 1 AND address >= 0.95e0 AND name >= 0.85e0 THEN greatest(total, 0.82e0)
+        WHEN dob = 1 AND name >= 0.9e0 THEN greatest(total, 0.78e0) ELSE total END""", 6)} AS bound
+      FROM (SELECT *, name * 0.25e0 + email * 0.15e0 + address * 0.2e0 + dob * 0.25e0 + member * 0.1e0 + source * 0.05e0 AS total FROM bounds)
+      WHERE bound >= 0.695e0""",
+        {**_phonetic_ctes("match_pairs", {"sound": "a_last_name"}, "* EXCLUDE (pair_id)"),
          "zipped": f"SELECT *, regexp_extract({_standard('a_address')}, '\\b(\\d{{5}})(?:-\\d{{4}})?\\b', 1) AS zip FROM ph3",
          "keyed": f"""SELECT a_id AS id, 'identifier' AS kind, {_n('a_member_id')} AS key FROM zipped WHERE {_n('a_member_id')} <> ''
            UNION ALL SELECT a_id, 'email', {_mail('a_email')} FROM zipped WHERE {_n('a_email')} <> ''
-           UNION ALL SELECT a_id, 'name_zip', sound || '|' || zip FROM zipped WHERE zip <> '' AND sound <> ''"""}),
+           UNION ALL SELECT a_id, 'name_zip', sound || '|' || zip FROM zipped WHERE zip <> '' AND sound <> ''""",
+         "told": f"""SELECT a_id AS id, min(a_id) OVER (PARTITION BY a_member_id, a_first_name, a_last_name, a_email, a_address, a_dob, a_source_system) AS first_id,
+           a_source_system AS sys, {_n('a_member_id')} AS member, {_n('a_dob')} AS dob, lower(trim(coalesce(a_first_name, '') || ' ' || coalesce(a_last_name, ''))) AS name,
+           {_addr('a_address')} AS address, regexp_replace({_mail('a_email')}, '[^a-z0-9@ ]+', '', 'g') AS mail, {_host_trust('a_email')} AS mail_trust FROM match_pairs""",
+         "met": """SELECT a.id AS a_id, b.id AS b_id, string_agg(DISTINCT a.kind, ',' ORDER BY a.kind) AS blocks FROM keyed a JOIN keyed b USING (kind, key)
+           JOIN told ta ON ta.id = a.id JOIN told tb ON tb.id = b.id
+           WHERE a.id < b.id AND (ta.first_id = b.id OR tb.first_id = a.id OR ta.first_id = a.id AND tb.first_id = b.id) GROUP BY 1, 2""",
+         "bounds": f"""SELECT a_id, b_id, blocks, CASE WHEN a.dob <> '' AND a.dob = b.dob THEN 1 ELSE 0 END AS dob, CASE WHEN a.member <> '' AND a.member = b.member THEN 1 ELSE 0 END AS member,
+           CASE WHEN len(a.name) + len(b.name) = 0 THEN 1e0 ELSE 1e0 - levenshtein(a.name, b.name) / (len(a.name) + len(b.name)) END AS name,
+           CASE WHEN a.mail <> '' AND b.mail <> '' THEN least(1e0, a.mail_trust, b.mail_trust) ELSE 0e0 END AS email,
+           CASE WHEN a.address = '' OR b.address = '' THEN 0e0 WHEN a.address = b.address THEN 1e0 ELSE 0.6e0 * (2 + least(len(a.address), len(b.address)) / greatest(len(a.address), len(b.address))) / 3 + 0.4e0 END AS address,
+           {_trust('a.sys', 'b.sys')} AS source FROM met JOIN told a ON a.id = a_id JOIN told b ON b.id = b_id"""}),
     "score_product": check(["product_pairs"], f"""SELECT pair_id, product_id_score, gtin_score, sku_score, name_score, lot_date_score, source_score,
       coalesce(attribute, 0e0) AS attribute_score, {half_up("""product_id_score * 0.2e0 + gtin_score * 0.25e0 + sku_score * 0.15e0 + name_score * 0.1e0 + lot_date_score * 0.1e0
         + coalesce(attribute, 0e0) * 0.1e0 + source_score * 0.05e0 + 0.05e0""", 4)} AS match_score

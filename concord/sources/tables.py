@@ -16,6 +16,13 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder: what follows reads it as often as it likes, and after a lost executor too."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_partitioned(df: DataFrame, path: str, by: str) -> DataFrame:
     """Write one folder per value of ``by`` and read the table back."""
     df.write.mode("overwrite").partitionBy(by).parquet(path)

@@ -6,7 +6,6 @@ from difflib import SequenceMatcher
 import pytest
 from pyspark.sql import functions as F
 
-from concord.functions import similarity as sim
 from concord.functions import text as tx
 from concord.operators import address as ad
 from concord.operators import candidates as ca
@@ -17,11 +16,13 @@ from concord.operators import scoring as sc
 from concord.operators import signals as si
 from concord.operators.evidence import evidence_text
 from concord.operators.feedback import latest_feedback
-from concord.plans import policy_plans, stream_plans
+from concord.plans import feedback_plans, policy_plans, stream_plans
+from concord.plans import match_run as mr
 from concord.plans.matching_plans import MAPPING
 from concord.sources import tables
 from concord.sources.shaped import shaped, spread
 from concord.streaming import jobs
+from tests.plain_similarity import jaro_winkler_pair
 
 DATA = "/root/testdata/sf0.001"
 AS_OF = dt.datetime(2001, 11, 5)
@@ -53,7 +54,7 @@ def test_customer_scores_by_hand(spark):
     got = sc.score_pairs(si.pair_signals(rows)).collect()
     for r in got:
         text = lambda v: (v or "").strip().lower()
-        jw = lambda a, b: round(sim.jaro_winkler_pair(text(a), text(b)), 4)
+        jw = lambda a, b: round(jaro_winkler_pair(text(a), text(b)), 4)
         full = lambda s: f"{r[s + '_first_name'] or ''} {r[s + '_last_name'] or ''}".strip().lower()
         name = SequenceMatcher(None, full("a"), full("b")).ratio() if full("a") != full("b") else 1.0
         dob = 1.0 if text(r.a_dob) and text(r.a_dob) == text(r.b_dob) else 0.0
@@ -133,46 +134,108 @@ def test_address_words_need_blanks_on_both_sides(spark):
 
 def test_candidates_are_the_same_by_broadcast_and_by_shuffle(spark):
     records = shaped(spark, DATA, "match_pairs")
-    rows = lambda hot: sorted(map(tuple, ca.candidate_pairs(records, MAPPING, hot).collect()))
+    rows = lambda hot: sorted(map(tuple, ca.candidate_pairs(records, MAPPING, hot_block=hot).collect()))
     assert rows(1_000_000) == rows(3) == rows(0)
 
 
 def test_one_hot_block_gives_one_pair_per_record(spark):
     df = spark.range(2000).select(F.format_string("r%05d", "id").alias("a_id"), F.lit("same").alias("m"))
-    got = ca.candidate_pairs(df, ca.ColumnMapping("a_id", identifier="m"), hot_block=100)
-    assert got.count() == 1999 and got.select("a_id").distinct().count() == 1
-    pairs = ca.pair_records(got, df, ca.ColumnMapping("a_id", identifier="m"), "CUSTOMER")
+    pairs = ca.paired_records(df, ca.ColumnMapping("a_id", identifier="m"), least=0.0, hot_block=100)
+    assert pairs.count() == 1999 and pairs.select("a_id").distinct().count() == 1
     assert si.identifier_signals(pairs).where("member_id_score = 1").count() == 1999
+    assert ca.candidate_pairs(df, ca.ColumnMapping("a_id", identifier="m")).count() == 0  # an identifier alone scores too little
 
 
 def test_copies_that_differ_from_the_first_of_their_block_meet(spark):
     kind = "id string, m string, first string, last string, email string"
     rows = [("1", "M", "Ann", "Knight", None), ("2", "M", "Bob", "Night", None), ("3", "M", "Bob", "Night", None),
-            ("4", "M", "Bob", "Nite", "b@x.org"), ("5", "N", "Bo", "Night", "b@x.org"), ("6", None, "Bob", "Night", None), ("7", None, "Bob", "Night", None)]
+            ("4", "M", "Bob", "Nite", "b@x.org"), ("5", "N", "Bo", "Night", "b@x.org"), ("6", None, "Bob", "Night", None), ("7", None, "Bob", "Night", None),
+            (None, "M", "Bob", "Night", None)]
     mapping = ca.ColumnMapping("id", identifier="m", first_name="first", last_name="last", email="email")
     for hot in (1_000_000, 0):
-        got = {(r.a_id, r.b_id): r.blocks for r in ca.candidate_pairs(spark.createDataFrame(rows, kind), mapping, hot).collect()}
+        got = {(r.a_id, r.b_id): r.blocks for r in ca.candidate_pairs(spark.createDataFrame(rows, kind), mapping, least=0.0, hot_block=hot).collect()}
         # 3 equals 2, which stands for it against 1 and 4; 6 and 7 have no key.
         assert got == {("1", "2"): "identifier", ("2", "3"): "identifier", ("1", "4"): "identifier", ("2", "4"): "identifier", ("4", "5"): "email"}
 
 
-def test_every_two_records_of_a_block_are_paired(spark):
-    records = shaped(spark, DATA, "match_pairs")
-    compared = list(MAPPING.fields().values())
-    rows = records.select("a_id", *compared, ca._blocks(records, MAPPING).alias("blocks")).collect()
-    first, members = {}, {}
-    for r in rows:
-        content = tuple(r[c] for c in compared)
-        first[content] = min(r.a_id, first.get(content, r.a_id))
-    stands = {r.a_id: first[tuple(r[c] for c in compared)] for r in rows}
-    for r in rows:
-        for block in r.blocks:
-            members.setdefault(tuple(block), set()).add(r.a_id)
-    got = {(r.a_id, r.b_id) for r in ca.candidate_pairs(records, MAPPING).collect()}
-    for ids in members.values():
-        for a in ids:
-            assert a == stands[a] or (stands[a], a) in got
-            assert all(stands[a] == stands[b] or (min(stands[a], stands[b]), max(stands[a], stands[b])) in got for b in ids)
+def people(spark, n, seed):
+    """Records of few names and addresses that share blocks, with birth dates and identifiers that are often alike."""
+    import random
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        rows.append((
+            f"r{i:05d}", rng.choice([f"M{rng.randint(0, 30)}", None, ""]), rng.choice(["Ann", "Anne", "Bob", None, ""]),
+            rng.choice(["Knight", "Night", "Nite", "Kant", None]), rng.choice([f"a.{rng.randint(0, 9)}@gmail.com", f"b{rng.randint(0, 9)}@acme.com", "x@uni.edu", None]),
+            rng.choice(["1 Main Street, Miami, FL 33101", "12 Main St Miami FL 33101", "9 Oak Ave, Tampa, FL 33602", None]),
+            rng.choice(["1980-01-01", "1981-02-02", "1982-03-03", " 1980-01-01", None]), rng.choice(["MDM", "CRM", None])))
+    kind = "id string, m string, first string, last string, email string, addr string, born string, sys string"
+    mapping = ca.ColumnMapping("id", identifier="m", first_name="first", last_name="last", email="email", address="addr", dob="born", source_system="sys",
+                               additional=("tax_id", "human_id"))
+    extra = [(*r, rng.choice([f"T{rng.randint(0, 9)}", None]), rng.choice([f"H{rng.randint(0, 3)}", None])) for r in rows]
+    return spark.createDataFrame(extra, kind + ", tax_id string, human_id string"), mapping
+
+
+@pytest.mark.parametrize(("domain", "least"), [
+    ("CUSTOMER", 0.70), ("SUPPLIER", 0.90), ("PATIENT", 0.55), ("LOCATION", 0.80)])
+def test_no_match_is_lost(spark, domain, least):
+    """Every two different records of a block are scored; all that reach the threshold are candidates, and no bound is too low."""
+    records, mapping = people(spark, 120, 3)
+    found = {(r.a_id, r.b_id): r for r in ca.candidate_pairs(records, mapping, domain, least).collect()}
+    fields = mapping.fields()
+    blocked = records.withColumn("blocks", ca._blocks(records, mapping))
+    side = lambda s: blocked.select(F.col("id").alias(f"{s}_id"), F.col("blocks").alias(f"{s}_blocks"), *[F.col(c).alias(f"{s}_{k}") for k, c in fields.items()])
+    every = side("a").join(side("b"), (F.col("a_id") < F.col("b_id")) & F.arrays_overlap("a_blocks", "b_blocks"))
+    scored = sc.score_pairs(si.pair_signals(every.withColumn("domain", F.lit(domain)))).collect()
+    content = lambda r, s: tuple(r[f"{s}_{k}"] for k in fields)
+    first = {}
+    for r in scored:
+        for s in ("a", "b"):
+            first[content(r, s)] = min(first.get(content(r, s), "~"), r[f"{s}_id"])
+    matches = 0
+    for r in scored:
+        pair = tuple(sorted((first[content(r, "a")], first[content(r, "b")]))) if content(r, "a") != content(r, "b") else (first[content(r, "a")], r.b_id)
+        if r.entity_score >= least:
+            matches += 1
+            assert pair in found
+        if pair == (r.a_id, r.b_id) and pair in found:
+            assert found[pair].bound >= r.entity_score - ca.ROUNDING
+    assert matches or least > 0.8
+
+
+def test_candidates_grow_with_the_records(spark):
+    """One block of records that differ in birth date and identifier makes no pairs but those of equal dates."""
+    def count(n):
+        df = spark.range(n).select(
+            F.format_string("r%06d", "id").alias("id"), F.concat(F.lit("M"), F.col("id").cast("string")).alias("m"), F.lit("Ann").alias("first"),
+            F.lit("Knight").alias("last"), F.concat(F.lit("a"), F.col("id").cast("string"), F.lit("@acme.com")).alias("email"),
+            F.concat((F.col("id") % 89 + 10).cast("string"), F.lit(" Main St, Miami, FL 33101")).alias("addr"),
+            F.date_add(F.lit("1900-01-01").cast("date"), (F.col("id") / 2).cast("int")).cast("string").alias("born"))
+        mapping = ca.ColumnMapping("id", identifier="m", first_name="first", last_name="last", email="email", address="addr", dob="born")
+        return ca.candidate_pairs(df, mapping).count()
+
+    small, large = count(4000), count(8000)
+    assert small == 2000 and large == 4000
+
+
+def test_fields_that_a_match_must_share():
+    assert ca.needed("CUSTOMER", 0.70) == ["dob", "member_id"] and ca.needed("CUSTOMER", 0.90) == ["dob"]
+    assert ca.needed("CUSTOMER", 0.50) is None and ca.needed("LOCATION", 0.80) == ["dob", "member_id"]
+    assert ca.needed("SUPPLIER", 0.95) == ["supplier_id", "tax_id"]
+
+
+def test_match_run(spark):
+    records, mapping = people(spark, 60, 5)
+    config = mr.RunConfig(mapping, requested_by="me", context_id="job", review_threshold=0.72, auto_merge_threshold=0.93, block_threshold=0.1)
+    configs, thresholds, rules = policy_plans.tables(spark, DATA)
+    out = mr.match_run(records, config, configs, thresholds, rules, feedback_plans.history(spark, DATA), AS_OF).collect()
+    pairs = mr.scored_run(records, config, 0.0)
+    want = {r.pair_id: round(r.entity_score + 1e-9, 2) for r in sc.score_pairs(si.pair_signals(pairs)).collect() if round(r.entity_score + 1e-9, 2) >= 0.72}
+    assert {r.pair_id: r.match_score for r in out} == want and want
+    assert {r.posture for r in out} <= {"REVIEW", "AUTO_MERGE"} and {r.requested_by for r in out} == {"me"}
+    assert all((r.posture == "AUTO_MERGE") == (r.match_score >= 0.93) for r in out)
+    with pytest.raises(ValueError):
+        mr.RunConfig(mapping, review_threshold=0.9, auto_merge_threshold=0.8)
 
 
 def test_rules_match_without_ids(spark):
