@@ -116,20 +116,22 @@ def _rule_rows(rules: DataFrame) -> Column:
 def matched_risk_rules(pairs: DataFrame, rules: DataFrame, as_of: dt.datetime) -> DataFrame:
     """Pairs with ``matched_rules``: the active rules of their policy version that they triggered.
 
-    ``pairs`` needs ``domain``, ``policy_version`` and ``triggered_rules``; ids play no part. The rules of a policy version
-    are one map by name, in which each pair looks up its own, so a pair costs as many looks as it has rules. The
-    map's size is that of one policy; Spark chooses how policies and pairs meet.
+    ``pairs`` needs ``domain``, ``policy_version`` and ``triggered_rules``; ids play no part. Many pairs trigger the same rules:
+    each distinct set of a policy version meets its own rules once, by (domain, version, rule), and pairs take the result
+    by their set. So neither a policy of many rules nor many pairs of one set make the work of a pair grow.
     """
     names = ["domain", "policy_version"]
+    asked = F.array_sort(F.array_distinct(F.array_compact("triggered_rules")))
+    told = pairs.withColumn("_set", F.when(F.size(asked) > 0, asked))
+    sets = told.where("_set is not null").select(*[F.col(c).alias(f"_{c}") for c in names], "_set").distinct()
     active = rules.where(in_force(as_of)).where("triggered_rule is not null")
-    by_name = active.groupBy(*names, "triggered_rule").agg(F.collect_list(_rule_rows(active)).alias("_rule"))
-    maps = by_name.groupBy(*[F.col(c).alias(f"_{c}") for c in names]).agg(
-        F.map_from_entries(F.collect_list(F.struct("triggered_rule", "_rule"))).alias("_rules"))
-    joined = pairs.join(maps, [F.col(c) == F.col(f"_{c}") for c in names], "left")
-    asked = F.filter(F.array_distinct("triggered_rules"), lambda r: r.isNotNull())
-    found = F.flatten(F.filter(F.transform(asked, lambda r: F.try_element_at("_rules", r)), lambda r: r.isNotNull()))
-    empty = F.array().cast(by_name.schema["_rule"].dataType)
-    return joined.withColumn("matched_rules", F.coalesce(F.array_sort(found), empty)).drop("_rules", *[f"_{c}" for c in names])
+    of_rule = [F.col(c) == F.col(f"_{c}") for c in names] + [F.col("triggered_rule") == F.col("_rule")]
+    met = sets.withColumn("_rule", F.explode("_set")).join(active, of_rule)
+    found = met.groupBy(*[f"_{c}" for c in names], "_set").agg(F.array_sort(F.collect_list(_rule_rows(active))).alias("matched_rules"))
+    found = found.withColumnRenamed("_set", "_found")
+    joined = told.join(found, [F.col(c) == F.col(f"_{c}") for c in names] + [F.col("_set") == F.col("_found")], "left")
+    empty = F.array().cast(found.schema["matched_rules"].dataType)
+    return joined.withColumn("matched_rules", F.coalesce("matched_rules", empty)).drop("_set", "_found", *[f"_{c}" for c in names])
 
 
 def rule_summary(df: DataFrame) -> DataFrame:
