@@ -1,15 +1,19 @@
-"""Table sinks: partitioned summaries, schema-filtered appends and whole-table rewrites."""
+"""Table sinks: partitioned summaries, schema-filtered appends, merges, and rewrites of the folders that changed."""
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from concord.session import shared_dir
 
+#: Folders of a table that is changed by key.
+BUCKETS = 64
+
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A folder no run used before, below the shared folder."""
@@ -63,6 +67,55 @@ def upsert(
     return joined.select(*cols)
 
 
+def bucket_of(keys: Sequence[str], buckets: int) -> Column:
+    """The folder of a row; equal keys share one, nulls included."""
+    return F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in keys]), F.lit(buckets)).cast("int")
+
+
+def bucketed(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at ``path`` with its column ``bucket``, or None before the first write."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
+def rewrite_buckets(
+    path: str, changes: DataFrame, keys: Sequence[str], merge: Callable[[DataFrame, DataFrame], DataFrame], buckets: int = BUCKETS,
+    columns: Sequence[str] | None = None,
+) -> None:
+    """Replace the rows of the folders that ``changes`` touch by ``merge(old rows of these folders, changes)``.
+
+    A table is kept in a fixed number of folders by a hash of its keys; the others are neither read nor written. ``merge``
+    must keep keys where they are and leave none of its old keys out. New files take the place of old ones when the job
+    commits; a job that fails before leaves the table as it was. Running the same changes again must give
+    the same rows, which upserts and newest-row merges do. At most ``buckets`` numbers reach the driver.
+    """
+    touched = sorted(r.bucket for r in changes.select(bucket_of(keys, buckets).alias("bucket")).distinct().collect())
+    if not touched:
+        return
+    table, kept = bucketed(changes.sparkSession, path), list(columns or changes.columns)
+    old = table.where(F.col("bucket").isin(touched)).select(*kept) if table is not None else changes.select(*kept).limit(0)
+    new = merge(old, changes).withColumn("bucket", bucket_of(keys, buckets))
+    new.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
+def upsert_table(
+    path: str, changes: DataFrame, keys: Sequence[str], columns: Sequence[str], update: dict[str, Column], insert: dict[str, Column],
+    buckets: int = BUCKETS,
+) -> None:
+    """:func:`upsert` of the table at ``path``, rewriting only the folders of changed keys. ``columns`` are the table's.
+
+    ``changes`` must hold all of them and may hold more; ``s`` and ``t`` are as there.
+    """
+    def merge(old: DataFrame, new: DataFrame) -> DataFrame:
+        return upsert(old.select(*columns), new, keys, update, insert).select(*columns)
+
+    rewrite_buckets(path, changes, keys, merge, buckets, columns)
+
+
 def update_where(target: DataFrame, predicate: Column, values: dict[str, Column]) -> DataFrame:
     """New state of ``target`` with ``values`` set on the rows that meet the predicate."""
     hit = F.coalesce(predicate, F.lit(False))
