@@ -452,11 +452,66 @@ def entity_summary() -> Column:
         F.lit("%, final action "), F.col("final_recommended_action"), F.lit(", composite risk "), risk, F.lit("."))
 
 
+# What is said of pairs whose member ids agree.
+MEMBER_ID_RULE = ("MEMBER_ID_EXACT", "HIGH", "Exact Member ID match strongly indicates the same member.")
+
+
 def add_member_id_rule(df: DataFrame) -> DataFrame:
-    """Appends MEMBER_ID_EXACT to the triggered rules when both member ids agree."""
+    """Appends MEMBER_ID_EXACT to the triggered rules when both member ids agree.
+
+    Where the pair carries the ``rule_analysis`` of a model answer, an entry for the rule comes first unless one is there;
+    a pair without an answer gets a list of its own.
+    """
     a, b = Sides(df).both(lambda s: F.nullif(col_or_null(df, f"{s}_member_id"), F.lit("")))
     same = F.coalesce(a.isNotNull() & b.isNotNull() & (folded(a) == folded(b)), F.lit(False))
+    name, impact, reason = MEMBER_ID_RULE
     rules = F.coalesce("triggered_rules", F.array().cast("array<string>"))
-    seen = F.coalesce(F.array_contains(rules, "MEMBER_ID_EXACT"), F.lit(False))
-    return df.withColumn("triggered_rules", F.when(same & ~seen, F.array_append(rules, "MEMBER_ID_EXACT")).otherwise(
-        F.col("triggered_rules")))
+    seen = F.coalesce(F.array_contains(rules, name), F.lit(False))
+    out = {"triggered_rules": F.when(same & ~seen, F.array_append(rules, name)).otherwise(F.col("triggered_rules"))}
+    if "rule_analysis" in df.columns:
+        entry = F.struct(F.lit(name).alias("rule"), F.lit(impact).alias("impact"), F.lit(reason).alias("reason"))
+        told = F.coalesce("rule_analysis", F.array().cast("array<struct<rule:string,impact:string,reason:string>>"))
+        missing = ~F.exists(told, lambda r: F.coalesce(r["rule"] == name, F.lit(False)))
+        out["rule_analysis"] = F.when(same & missing, F.concat(F.array(entry), told)).otherwise(F.col("rule_analysis"))
+    return df.withColumns(out)
+
+
+# Fields of given events and signals, their kinds, and what stands for an absent one.
+EVENT_FIELDS = {
+    "step": ("int", None), "stage": ("string", "SIGNAL"), "title": ("string", "Evidence Evaluated"), "detail": ("string", ""),
+    "tone": ("string", "neutral"), "signal_name": ("string", None), "signal_score": ("double", None), "policy_rule": ("string", None),
+    "impact": ("string", None),
+}
+SIGNAL_FIELDS = {
+    "signal_name": ("string", None), "signal_score": ("double", None), "signal_weight": ("double", None), "weighted_score": ("double", None),
+    "detail": ("string", None), "tone": ("string", None), "signal_band": ("string", None), "signal_rank": ("int", None),
+}
+
+
+def _filled(text: Column, fields: dict[str, tuple[str, str | None]]) -> Column:
+    """The objects of a JSON list as structs of ``fields``, read once; what is no list is an empty one.
+
+    An absent field gets its default, one that is null or of another kind stays null; ``step`` counts from 1. Members that are no
+    objects are left out.
+    """
+    given = F.coalesce(F.try_variant_get(F.try_parse_json(text), "$", "array<variant>"), F.array().cast("array<variant>"))
+    objects = F.filter(given, lambda v: F.coalesce(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), F.lit(False)))
+
+    def entry(v: Column, at: Column) -> Column:
+        def field(name: str, kind: str, default: str | None) -> Column:
+            value = F.try_variant_get(v, f"$.{name}", kind)
+            other = (at + 1).cast(kind) if name == "step" else F.lit(default).cast(kind)
+            return F.when(F.try_variant_get(v, f"$.{name}", "variant").isNull(), other).otherwise(value).alias(name)
+        return F.struct(*[field(n, *f) for n, f in fields.items()])
+
+    return F.transform(objects, entry)
+
+
+def given_events(text: Column) -> Column:
+    """A given timeline, as JSON text, as the events of :func:`evidence_timeline`."""
+    return _filled(text, EVENT_FIELDS)
+
+
+def given_signals(text: Column) -> Column:
+    """A given list of signals, as JSON text, with all fields of a signal packet."""
+    return _filled(text, SIGNAL_FIELDS)

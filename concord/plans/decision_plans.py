@@ -56,6 +56,21 @@ def _timeline(s, d):
     return rounded(co.one_row_per_entry(df, "evidence_timeline").drop("detail"))
 
 
+def _events(s, d):
+    """Given event lists, one row per event, with what stands for absent fields."""
+    df = spread(shaped(s, d, "given_events"))
+    return df.select("packet_id", F.posexplode(co.given_events(F.col("events"))).alias("at", "e")).select("packet_id", "at", "e.*")
+
+
+def _answers(s, d):
+    """What the model answers say of the rules of each pair, the member id rule included."""
+    said = normalize_payload(shaped(s, d, "pair_payloads"))
+    pairs = shaped(s, d, "match_pairs").join(said.select("pair_id", "rule_analysis"), "pair_id", "left")
+    items = F.transform("rule_analysis", lambda r: F.concat_ws("/", r["rule"], r["impact"], r["reason"]))
+    return co.add_member_id_rule(pairs).select(
+        "pair_id", F.array_join("triggered_rules", ",").alias("triggered_rules"), F.array_join(items, ";").alias("rule_analysis"))
+
+
 def _run(s, d):
     """The batch run over one side of the pairs, under the customer policy."""
     out = run.match_run(shaped(s, d, "match_pairs"), run.RunConfig(MAPPING, context_id="nightly"), *tables(s, d), history(s, d), AS_OF)
@@ -103,6 +118,8 @@ QUERIES = {
     "evidence_timeline": _timeline,
     "match_explain": _explain,
     "match_run": _run,
+    "given_events": _events,
+    "member_id_rule_analysis": _answers,
     "member_id_rule": lambda s, d: co.add_member_id_rule(shaped(s, d, "scored_pairs")).select(
         "pair_id", F.array_join("triggered_rules", ",").alias("triggered_rules")),
     "stage_gate": _gate,
@@ -328,6 +345,18 @@ CHECKS = {
       strength AS deterministic_strength, ready AS automation_readiness_score,
       CASE WHEN ready >= 90 THEN 'AUTO_APPROVE' WHEN ready >= 70 THEN 'REVIEW_REQUIRED' ELSE 'MANUAL_STEWARD_REVIEW' END AS automation_decision FROM w""", GATE),
     "record_search": check(["search_index"], """SELECT * EXCLUDE (search_text) FROM search_index WHERE upper(domain) = 'PRODUCT' AND lower(search_text) LIKE '%ring brand#2%' ORDER BY record_id LIMIT 20"""),
+    "given_events": check(["given_events"], """SELECT packet_id, (i - 1)::INTEGER AS "at", CASE WHEN list_contains(json_keys(e), 'step') THEN CAST(e->>'step' AS INTEGER) ELSE i::INTEGER END AS step,
+        CASE WHEN list_contains(json_keys(e), 'stage') THEN e->>'stage' ELSE 'SIGNAL' END AS stage, coalesce(e->>'title', 'Evidence Evaluated') AS title,
+        coalesce(e->>'detail', '') AS detail, coalesce(e->>'tone', 'neutral') AS tone, e->>'signal_name' AS signal_name, CAST(e->>'signal_score' AS DOUBLE) AS signal_score,
+        e->>'policy_rule' AS policy_rule, e->>'impact' AS impact
+      FROM (SELECT packet_id, unnest(list) AS e, generate_subscripts(list, 1) AS i FROM (SELECT packet_id, CAST(events AS JSON[]) AS list
+        FROM given_events WHERE starts_with(events, '[')))"""),
+    "member_id_rule_analysis": check(["match_pairs", "pair_payloads"], """SELECT pair_id,
+        array_to_string(CASE WHEN same THEN list_append(coalesce(triggered_rules, []), 'MEMBER_ID_EXACT') ELSE triggered_rules END, ',') AS triggered_rules,
+        CASE WHEN kind = 1 THEN 'MEMBER_ID_EXACT/LOW/given' WHEN kind = 0 AND same THEN said || ';DOB_EXACT/HIGH/same day' WHEN kind = 0 THEN 'DOB_EXACT/HIGH/same day'
+          WHEN same THEN said WHEN kind = 4 THEN '' END AS rule_analysis
+      FROM (SELECT *, lower(trim(a_member_id)) = lower(trim(b_member_id)) AS same, 'MEMBER_ID_EXACT/HIGH/Exact Member ID match strongly indicates the same member.' AS said,
+        CAST(substr(pair_id, 2) AS BIGINT) % 5 AS kind FROM match_pairs JOIN pair_payloads USING (pair_id))"""),
     "governance_tickets": check(["explanations"], f"""SELECT explanation_id, 'Governance Review Required: Unknown (' || coalesce(nullif(upper(risk_flag), ''), 'UNKNOWN') || ' Risk / ' ||
         CASE action WHEN 'AUTO_MERGE' THEN 'Auto Merge' WHEN 'APPROVE_MERGE' THEN 'Approve Merge' WHEN 'BLOCK_MERGE' THEN 'Block Merge' ELSE 'Review Required' END || ')' AS summary,
       concat_ws(chr(10), 'Explanation ID: ' || explanation_id, 'Request ID: ' || coalesce(request_id, 'N/A'), 'Domain: ' || domain, 'Policy Version: ' || policy_version,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,8 +27,11 @@ LOG_COLUMNS = (
     "risk_flag", "recommended_action", "final_recommended_action", "automation_readiness_score",
     "automation_readiness_label", "automation_policy_status", "estimated_false_positive_risk", "composite_risk_score",
     "composite_risk_band", "primary_risk_driver", "decision_confidence_score", "automation_tier", "primary_signal",
-    "steward_decision", "steward_user", "steward_override_flag", "feedback_at", "created_at",
+    "steward_decision", "steward_user", "steward_override_flag", "feedback_at", "created_at", "policy_hash", "requested_by", "context_id",
+    "steward_override_reason", "model_provider", "model_version", "prompt_version", "feature_schema_version",
 )
+# Columns of the log that name the model and the versions of what it was asked with.
+MODEL_COLUMNS = ("model_provider", "model_version", "prompt_version", "feature_schema_version")
 
 
 def _with_addresses(df: DataFrame) -> DataFrame:
@@ -49,7 +53,10 @@ def match_explain(
     as_of: dt.datetime, payloads: DataFrame | None = None, trust: dict[str, float] | None = None,
     weights: dict[str, dict[str, float]] | None = None,
 ) -> DataFrame:
-    """Explained pairs. ``history`` is :func:`learning.decided`; ``payloads`` holds checked model answers per pair.
+    """Explained pairs. ``history`` is :func:`learning.decided`.
+
+    ``payloads`` holds checked model answers (:func:`payload.normalize_payload`) by ``pair_id``. An answer's action and risk flag
+    count where the policy gives none; a pair without a readable answer falls back to review and medium risk.
 
     ``trust`` and ``weights`` put a policy's own source trust and signal weights in place of the published ones.
 
@@ -59,11 +66,19 @@ def match_explain(
     df = le.override_counts(pairs, history)
     df = po.with_policy(df, configs, thresholds, as_of)
     df = po.policy_decision(po.rule_summary(po.matched_risk_rules(df, rules, as_of)))
-    valid = lambda c, allowed, other: F.when(c.isin(*allowed), c).otherwise(other)
+    if payloads is not None:
+        said = payloads.select(
+            "pair_id", "ai_decision", F.col("confidence").alias("ai_confidence"), "explanation_summary", "rule_analysis",
+            F.col("recommended_action").alias("_said_action"), F.col("risk_flag").alias("_said_flag"))
+        df = df.join(said, "pair_id", "left")
+    else:
+        df = df.withColumns({
+            "ai_confidence": F.lit(None).cast("double"), **{c: F.lit(None).cast("string") for c in ("ai_decision", "_said_action", "_said_flag")}})
+    valid = lambda c, allowed, said, other: F.when(c.isin(*allowed), c).when(F.col(said).isin(*allowed), F.col(said)).otherwise(other)
     df = df.withColumns({
         "override_rate": F.col("override_rate_estimate"),
-        "recommended_action": valid(F.col("recommendation"), VALID_DECISIONS, "REVIEW_REQUIRED"),
-        "risk_flag": valid(F.col("highest_risk_level"), VALID_RISK_FLAGS, "MEDIUM"),
+        "recommended_action": valid(F.upper(F.trim("recommendation")), VALID_DECISIONS, "_said_action", "REVIEW_REQUIRED"),
+        "risk_flag": valid(F.upper(F.trim("highest_risk_level")), VALID_RISK_FLAGS, "_said_flag", "MEDIUM"),
         "learning_context": le.learning_context(),
         "threshold_guidance": po.threshold_guidance(df),
         "risk_rule_guidance": po.risk_rule_guidance(),
@@ -73,12 +88,7 @@ def match_explain(
     df = co.with_signal_packets(df, weights)
     df = df.withColumn("evidence_timeline", co.evidence_timeline(df))
     df = df.withColumn("entity_resolution_summary", co.entity_summary())
-    if payloads is not None:
-        said = payloads.select("pair_id", "ai_decision", F.col("confidence").alias("ai_confidence"), "explanation_summary", "rule_analysis")
-        df = df.join(said, "pair_id", "left")
-    else:
-        df = df.withColumns({"ai_decision": F.lit(None).cast("string"), "ai_confidence": F.lit(None).cast("double")})
-    df = co.add_member_id_rule(df)
+    df = co.add_member_id_rule(df).drop("_said_action", "_said_flag")
     return df.withColumns({
         "explanation_id": F.concat(F.lit("exp_"), F.substring(F.sha2("pair_id", 256), 1, 12)),
         "match_score": F.round("entity_score", 2),
@@ -89,13 +99,21 @@ def match_explain(
     })
 
 
-def explanation_log(explained: DataFrame, as_of: dt.datetime, columns=LOG_COLUMNS) -> DataFrame:
-    """Log rows of explained pairs, reduced to the columns the log has; review fields start empty."""
+def explanation_log(
+    explained: DataFrame, as_of: dt.datetime, columns=LOG_COLUMNS, model: Mapping[str, str] | None = None,
+) -> DataFrame:
+    """Log rows of explained pairs, reduced to the columns the log has; review fields start empty.
+
+    ``requested_by`` and ``context_id`` come from the pairs where they have them; ``model`` names what MODEL_COLUMNS say.
+    """
     made = lambda prefix: F.concat(F.lit(prefix), F.substring(F.sha2(F.concat(F.lit(prefix), F.col("explanation_id")), 256), 1, 12))
-    empty = {c: F.lit(None).cast("string") for c in ("steward_decision", "steward_user", "steward_override_flag")}
+    empty = {c: F.lit(None).cast("string") for c in (
+        "steward_decision", "steward_user", "steward_override_flag", "steward_override_reason", "policy_hash")}
     rows = explained.withColumns({
         **empty, "feedback_at": F.lit(None).cast("timestamp"), "created_at": F.lit(as_of),
         "request_id": F.coalesce(F.nullif(col_or_null(explained, "request_id"), F.lit("")), made("req_")),
         "audit_packet_id": made("aud_"),
+        **{c: col_or_null(explained, c) for c in ("requested_by", "context_id")},
+        **{c: F.lit((model or {}).get(c)).cast("string") for c in MODEL_COLUMNS},
     })
     return for_schema(rows.select(*[c for c in LOG_COLUMNS if c in rows.columns]), columns)

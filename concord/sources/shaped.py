@@ -312,6 +312,23 @@ SELECT 'RP' || o_orderkey AS payload_id,
     WHEN 6 THEN NULL
     WHEN 7 THEN '   '
     ELSE '{}' END AS raw_text
+FROM {orders}""",
+    # Model answers for the match pairs, and event lists as callers give them.
+    "pair_payloads": """
+SELECT 'P' || c_custkey AS pair_id,
+  CASE c_custkey % 5
+    WHEN 0 THEN '{"ai_decision": "AUTO_MERGE", "confidence": 0.' || (c_custkey % 90 + 10) || ', "risk_flag": "low", "recommended_action": "approve_merge", "rule_analysis": [{"rule": "DOB_EXACT", "impact": "high", "reason": "same day"}]}'
+    WHEN 1 THEN '{"ai_decision": "BLOCK_MERGE", "confidence": 0.2, "risk_flag": "CRITICAL", "rule_analysis": [{"rule": "MEMBER_ID_EXACT", "impact": "LOW", "reason": "given"}]}'
+    WHEN 2 THEN 'no answer' WHEN 3 THEN NULL
+    ELSE '{"ai_decision": "REVIEW_REQUIRED", "explanation_summary": "Customer ' || c_custkey || '"}' END AS raw_text
+FROM {customer}""",
+    "given_events": """
+SELECT 'EV' || o_orderkey AS packet_id,
+  CASE o_orderkey % 7
+    WHEN 0 THEN '[{"step": 7, "stage": "RISK", "title": "Order ' || o_orderkey || '", "signal_score": 0.5, "impact": "HIGH"}, {}]'
+    WHEN 1 THEN '[{"detail": "of customer ' || o_custkey || '", "tone": "positive", "signal_name": "dob_match"}, {"stage": null, "policy_rule": "R' || (o_custkey % 9) || '"}, {"title": ""}]'
+    WHEN 2 THEN '[]' WHEN 3 THEN NULL WHEN 4 THEN 'not a list' WHEN 5 THEN '{"stage": "RISK"}'
+    ELSE '[{"signal_score": 1, "extra": [1, 2]}, {"step": 1, "tone": "warning", "impact": null}]' END AS events
 FROM {orders}""",
     "stage_gate_records": """
 SELECT 'G' || c_custkey AS record_key, CASE c_custkey % 4 WHEN 0 THEN 'PATIENT' WHEN 1 THEN 'PROVIDER' WHEN 2 THEN 'CUSTOMER' ELSE 'patient' END AS domain,
