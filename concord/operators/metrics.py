@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from concord.functions.ladders import decision_group, flag_is_true, ratio, score_bucket
 from concord.operators.feedback import feedback_time, latest_feedback, recommended_action
+from concord.sources.tables import stored
 
 UNKNOWN_REASON = "UNKNOWN_REASON"
 REASON_COLUMNS = ("override_reason_code", "override_reason_note", "override_reason", "steward_override_reason")
@@ -174,11 +175,45 @@ def _best(tally: DataFrame, ranked: list[str], limit: int) -> DataFrame:
     return tally.where(~is_ranked).unionByName(top.where(F.col("rn") <= limit).drop("rn"))
 
 
+def _reviewed_tally(rows: DataFrame) -> DataFrame:
+    """Reviewed rows counted in one pass: by cell (both decisions, override flag, score bucket), by reason and by wrong rules.
+
+    A row counts in its cell, under its reason, and under each rule where the engine was wrong; ``minutes`` and ``timed`` add up
+    the cells' times to feedback. The table is as small as the distinct values.
+    """
+    none = F.array().cast("array<string>")
+    reason = F.trim(F.lower(F.nullif(F.col("override_reason"), F.lit(""))))
+    rules = F.coalesce("triggered_rules", none)
+    wrong = lambda kind, test: F.transform(F.when(test, rules).otherwise(none), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("key")))
+    single = lambda kind, key: F.array(F.struct(F.lit(kind).alias("kind"), key.cast("string").alias("key")))
+    entries = F.concat(
+        single("cell", F.lit(None)), single("reason", reason), wrong("fp", F.coalesce(false_positive(), F.lit(False))),
+        wrong("fn", F.coalesce(false_negative(), F.lit(False))))
+    cell = ["ai_norm", "steward_norm", "steward_override_flag", "score_bucket"]
+    told = rows.select(*cell, _minutes().alias("minutes"), F.explode(entries).alias("e"))
+    in_cell = F.col("e.kind") == "cell"
+    told = told.select("e.kind", "e.key", *[F.when(in_cell, F.col(c)).alias(c) for c in (*cell, "minutes")])
+    return told.groupBy("kind", "key", *cell).agg(
+        F.count("*").alias("n"), F.sum("minutes").alias("minutes"), F.count("minutes").alias("timed"))
+
+
+def _confusion_of(cells: DataFrame) -> list[Column]:
+    """The counts of :func:`_confusion` from counted cells."""
+    ai, st = F.col("ai_norm"), F.col("steward_norm")
+    of = lambda test: F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0).cast("bigint"))
+    return [
+        of(F.lit(True)).alias("total_reviewed"), of((ai == "MATCH") & (st == "MATCH")).alias("true_positives"),
+        of((ai == "NO_MATCH") & (st == "NO_MATCH")).alias("true_negatives"), of(false_positive()).alias("false_positives"),
+        of(false_negative()).alias("false_negatives"), of((ai == "REVIEW") | (st == "REVIEW")).alias("review_or_other"),
+    ]
+
+
 def overview(explanations: DataFrame, feedback: DataFrame, as_of: dt.datetime, days: int = 7) -> DataFrame:
     """Everything above as one row of scalars, maps and lists.
 
-    Each log is aggregated to a few rows in one pass before anything is collected into
-    the row; no count map or top list sees raw rows.
+    Reviewed rows are read twice, for one tally and for the newest decisions; scores, confusion, buckets and lists come from the
+    tally, which is stored. Each log is aggregated to a few rows in one pass before anything is collected into the row; no
+    count map or top list sees raw rows.
     """
     base = recent(explanations, as_of, days)
     rows = reviewed(explanations, feedback, as_of, days)
@@ -191,19 +226,23 @@ def overview(explanations: DataFrame, feedback: DataFrame, as_of: dt.datetime, d
         _as_map("action").alias("recommended_actions"), _as_map("bucket").alias("score_buckets"),
         _as_top("rule").alias("top_triggered_rules"),
     )
-    none = F.lit(None).cast("array<string>")
-    reasons = F.nullif(F.col("override_reason"), F.lit(""))
-    seen = _best(
-        _tally(rows, {"reason": F.trim(F.lower(reasons))},
-               {"fp": F.when(false_positive(), F.col("triggered_rules")).otherwise(none),
-                "fn": F.when(false_negative(), F.col("triggered_rules")).otherwise(none)}),
-        ["reason", "fp", "fn"], 10,
-    ).agg(_as_top("reason").alias("top_override_reasons"), _as_top("fp").alias("top_fp_rules"),
-          _as_top("fn").alias("top_fn_rules"))
     totals = base.agg(F.count("*").alias("total_explanations"), F.avg("ai_confidence").alias("avg_ai_confidence"))
-    scores = _with_rates(rows.agg(
-        _override_rate().alias("override_rate"), F.avg(_minutes()).alias("avg_time_to_feedback_minutes"), *_confusion()))
-    by_bucket = fpfn_by_bucket(rows).agg(F.array_sort(F.collect_list(F.struct(
+
+    tally = stored(_reviewed_tally(rows), "reviewed-tally")
+    cells = tally.where("kind = 'cell'")
+    seen = _best(tally.where("kind <> 'cell'").select("kind", "key", "n"), ["reason", "fp", "fn"], 10).agg(
+        _as_top("reason").alias("top_override_reasons"), _as_top("fp").alias("top_fp_rules"), _as_top("fn").alias("top_fn_rules"))
+    overridden = F.coalesce(F.sum(F.when(F.col("steward_override_flag"), F.col("n"))), F.lit(0))
+    scores = _with_rates(cells.agg(
+        ratio(overridden, F.sum("n")).alias("override_rate"),
+        F.try_divide(F.sum("minutes").cast("double"), F.sum("timed")).alias("avg_time_to_feedback_minutes"), *_confusion_of(cells)))
+    counted = lambda test: F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0).cast("bigint"))
+    bucketed = cells.groupBy(F.col("score_bucket").alias("bucket")).agg(
+        F.sum("n").alias("reviewed"), counted(false_positive()).alias("false_positives"), counted(false_negative()).alias("false_negatives"))
+    for k in ("fp", "fn"):
+        name = {"fp": "false_positives", "fn": "false_negatives"}[k]
+        bucketed = bucketed.withColumn(f"{k}_rate", ratio(F.col(name), F.col("reviewed")))
+    by_bucket = bucketed.agg(F.array_sort(F.collect_list(F.struct(
         "bucket", "reviewed", "false_positives", "false_negatives", "fp_rate", "fn_rate"))).alias("fpfn_by_score_bucket"))
     line = learning_timeline(rows).agg(F.expr(
         "reverse(array_sort(collect_list(struct(feedback_at, explanation_id, ai_decision, recommended_action, "

@@ -124,6 +124,7 @@ QUERIES = {
         "pair_id", F.array_join("triggered_rules", ",").alias("triggered_rules")),
     "stage_gate": _gate,
     "record_search": lambda s, d: search.record_search(shaped(s, d, "search_index"), *SEARCH),
+    "record_search_batch": lambda s, d: search.search_many(*search.postings(shaped(s, d, "search_index")), shaped(s, d, "search_queries")),
     "governance_tickets": lambda s, d: (lambda t: t.withColumn("labels", F.array_join("labels", ",")))(
         tickets.governance_tickets(shaped(s, d, "explanations"))),
     "normalize_ai_payload": _payloads,
@@ -345,6 +346,9 @@ CHECKS = {
       strength AS deterministic_strength, ready AS automation_readiness_score,
       CASE WHEN ready >= 90 THEN 'AUTO_APPROVE' WHEN ready >= 70 THEN 'REVIEW_REQUIRED' ELSE 'MANUAL_STEWARD_REVIEW' END AS automation_decision FROM w""", GATE),
     "record_search": check(["search_index"], """SELECT * EXCLUDE (search_text) FROM search_index WHERE upper(domain) = 'PRODUCT' AND lower(search_text) LIKE '%ring brand#2%' ORDER BY record_id LIMIT 20"""),
+    "record_search_batch": check(["search_index", "search_queries"], """SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY record_id) AS rank, i.* EXCLUDE (search_text)
+      FROM search_queries q JOIN search_index i ON upper(i.domain) = upper(q.domain) AND lower(i.search_text) LIKE '%' || lower(q.text) || '%'
+      QUALIFY rank <= 20"""),
     "given_events": check(["given_events"], """SELECT packet_id, (i - 1)::INTEGER AS "at", CASE WHEN list_contains(json_keys(e), 'step') THEN CAST(e->>'step' AS INTEGER) ELSE i::INTEGER END AS step,
         CASE WHEN list_contains(json_keys(e), 'stage') THEN e->>'stage' ELSE 'SIGNAL' END AS stage, coalesce(e->>'title', 'Evidence Evaluated') AS title,
         coalesce(e->>'detail', '') AS detail, coalesce(e->>'tone', 'neutral') AS tone, e->>'signal_name' AS signal_name, CAST(e->>'signal_score' AS DOUBLE) AS signal_score,

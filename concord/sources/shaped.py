@@ -253,6 +253,11 @@ FROM {{orders}}""",
 SELECT 'S' || s_suppkey AS record_id, 'MDM' || (s_suppkey DIV 2) AS mdm_id, 'Supplier' AS domain, s_name AS display_name,
   'ERP' AS source_system, s_suppkey % 2 = 0 AS golden_record_flag, s_name || ' ' || s_nationkey AS search_text FROM {supplier}
 UNION ALL SELECT 'P' || p_partkey, 'MDM' || (p_partkey DIV 2), 'PRODUCT', p_name, 'PIM', p_partkey % 2 = 0, upper(p_name) || ' ' || p_brand FROM {part}""",
+    "search_queries": """
+SELECT 'Q' || p_partkey AS query_id, CASE p_partkey % 5 WHEN 0 THEN 'supplier' WHEN 1 THEN NULL WHEN 2 THEN 'Product' ELSE 'PRODUCT' END AS domain,
+  CASE p_partkey % 9 WHEN 0 THEN substr(p_name, 2, 7) WHEN 1 THEN p_brand WHEN 2 THEN substr(p_name, 1, 2) WHEN 3 THEN (p_partkey % 10) || '%'
+    WHEN 4 THEN upper(p_name) || '_' || 'Brand' WHEN 5 THEN 'Supplier#' || (p_partkey % 97) WHEN 6 THEN NULL WHEN 7 THEN '' ELSE 'qqq' || p_partkey END AS text
+FROM {part}""",
     # One policy version per supplier: inactive, expired, future and undated ones included.
     "policy_config": f"""
 SELECT 'POL-' || {_POLICY_DOMAIN.format(k='s_suppkey')} || '-V' || (s_suppkey DIV 6 + 1) AS policy_id,
