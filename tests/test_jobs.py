@@ -357,7 +357,7 @@ def test_daily_scores_keep_open_days(spark, tmp_path):
     def run():
         rows = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
         jobs.finished(jobs.keep_daily(jobs.daily_scores(rows), f"{tmp_path}/out", f"{tmp_path}/checkpoint"))
-        got = {(r.metric_date, r.domain): r for r in jobs.daily_of(spark, f"{tmp_path}/out").collect()}
+        got = {(r.metric_date, r.domain): r for r in jobs.kept(spark, f"{tmp_path}/out").collect()}
         want, ids = {}, {}
         for at, domain, record, score in seen:
             want.setdefault((at.date(), domain.upper()), []).append(score)
