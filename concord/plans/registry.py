@@ -5,7 +5,8 @@ from __future__ import annotations
 from importlib import import_module
 
 MODULES = [
-    "quality_plans", "governance_plans", "feedback_plans", "policy_plans", "matching_plans", "fuzzy_checks", "decision_plans", "stream_plans",
+    "quality_plans", "governance_plans", "feedback_plans", "policy_plans", "matching_plans", "fuzzy_checks", "decision_plans",
+    "explain_checks", "stream_plans",
 ]
 
 
