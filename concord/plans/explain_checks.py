@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from concord.operators import confidence as co
 from concord.plans import decision_plans as dp
+from concord.plans import fuzzy_checks as fc
 from concord.plans import matching_plans as mp
 from concord.plans import policy_plans as pp
 from concord.plans.checks import check, half_up
 from concord.plans.feedback_plans import HISTORY, LOGS, _bucket
 from concord.plans.fuzzy_checks import _compact, _exact, _jw, _mailed, _n, _trust, _two_names, sequence, sequence_cte, weighted_cte
+from concord.sources.shaped import checker_sql
 
 SHAPES = ["match_pairs", *pp.POLICY_SHAPES, *LOGS]
 
@@ -113,8 +115,28 @@ _MADE = lambda prefix: f"'{prefix}' || substr(sha256('{prefix}' || explanation_i
 _EMPTY = ("ai_decision", "policy_hash", "requested_by", "context_id", "steward_decision", "steward_override_reason", "steward_user", "steward_override_flag",
           "model_provider", "model_version", "prompt_version", "feature_schema_version")
 
+
+def _run_check() -> str:
+    """The batch run: candidates of the people on one side, their customer scores, and what is explained of those that reach review."""
+    people = {k: v.replace("match_pairs", "people") for k, v in mp.CANDIDATE_CTES.items()}
+    fields = ("member_id", "first_name", "last_name", "email", "address", "dob", "source_system")
+    stages = {
+        "people": checker_sql("match_pairs"), **people, "candidates": mp.CANDIDATES,
+        "run_pairs": "SELECT c.*, c.a_id || '~' || c.b_id AS pair_id, " + ", ".join(f"{s}.a_{f} AS {s}_{f}" for s in "ab" for f in fields)
+        + " FROM candidates c JOIN people a ON a.a_id = c.a_id JOIN people b ON b.a_id = c.b_id",
+        **fc.score_ctes("run_pairs", fc._MATCH, {"email": fc._both(lambda s: f"{s}_email")}, full=True), "customer": fc._CUSTOMER,
+        "match_pairs": """SELECT r.*, 'CUSTOMER' AS domain, []::VARCHAR[] AS triggered_rules, match_score FROM run_pairs r
+          JOIN (SELECT pair_id, match_score FROM customer WHERE match_score >= 0.7e0) USING (pair_id)""",
+        **{name: checker_sql(name) for name in SHAPES[1:]}, **EXPLAINED,
+    }
+    return _nested(stages, """SELECT pair_id, blocks, bound, e.match_score, CASE WHEN e.match_score >= hi THEN 'AUTO_MERGE' WHEN e.match_score >= lo THEN 'REVIEW' ELSE 'NO_MATCH' END AS posture,
+      e.policy_version, e.policy_status, recommendation, e.composite_risk_score, decision_confidence_score, e.automation_tier, postal_match_level,
+      array_to_string(rules, ',') AS triggered_rules, 'nightly' AS context_id FROM explained e JOIN ready r USING (pair_id)""").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 QUERIES: dict = {}
 CHECKS = {
+    "match_run": _run_check(),
     "match_explain": check(SHAPES, f"""SELECT pair_id, explanation_id, domain, policy_version, policy_status, recommendation, recommended_action, risk_flag, composite_risk_score, composite_risk_band,
       primary_risk_driver, override_count, postal_match_level, address_match_insight, address_similarity_score, match_score, raw_entity_score, adjusted_entity_score, decision_confidence_score,
       automation_tier, automation_readiness_score, automation_readiness_label, {_STATUS} AS automation_policy_status, estimated_false_positive_risk, primary_signal, signals, events,

@@ -65,8 +65,8 @@ def _text(*names: str):
     return lambda s: _either(*[n.replace("@", f"{s}_") for n in names])
 
 
-def _scores(table: str, texts: dict[str, tuple[str, str]], mails: dict[str, tuple[str, str]], body: str, full: bool = False) -> str:
-    """``body`` over the texts and mail similarities of a pair table. ``texts`` and ``mails`` name two columns each."""
+def score_ctes(table: str, texts: dict[str, tuple[str, str]], mails: dict[str, tuple[str, str]], full: bool = False) -> dict[str, str]:
+    """Stages up to ``m``, a pair table with its texts and mail similarities. ``texts`` and ``mails`` name two columns each."""
     picked = [f"{x} AS a_{k}_, {y} AS b_{k}_" for k, (x, y) in texts.items()]
     picked += [f"{x} AS a_{k}_raw, {y} AS b_{k}_raw, {_compact(f'({x})')} AS a_{k}_, {_compact(f'({y})')} AS b_{k}_" for k, (x, y) in mails.items()]
     ctes = {"n": f"SELECT *, {', '.join(picked)} FROM {table}"}
@@ -82,7 +82,11 @@ def _scores(table: str, texts: dict[str, tuple[str, str]], mails: dict[str, tupl
     scores = ", ".join(_mailed(f"a_{k}_", f"b_{k}_", f"wr_{k}.ratio", f"a_{k}_raw", f"b_{k}_raw") + f" AS {k}_score" for k in mails)
     scores += f", {sequence('a_full_', 'b_full_', 'sr.ratio')} AS name_seq_score" if full else ""
     ctes["m"] = f"SELECT n.*, {scores} FROM n{joins}"
-    return check([table], body, ctes)
+    return ctes
+
+
+def _scores(table: str, texts: dict[str, tuple[str, str]], mails: dict[str, tuple[str, str]], body: str, full: bool = False) -> str:
+    return check([table], body, score_ctes(table, texts, mails, full))
 
 
 def _columns(total: str) -> str:

@@ -13,6 +13,7 @@ from concord.operators.candidates import LEAST, ColumnMapping, paired_records
 from concord.operators.scoring import score_pairs
 from concord.operators.signals import pair_signals
 from concord.plans.explain import match_explain
+from concord.sources.tables import stored
 
 
 @dataclass(frozen=True)
@@ -82,7 +83,8 @@ def match_run(
     least = lowest_review(config, thresholds, as_of)
     pairs = scored_run(records, config, least)
     kept = score_pairs(pair_signals(pairs)).select(*[F.col(f"`{c}`") for c in pairs.columns if c != "match_score"], F.round("entity_score", 2).alias("match_score"))
-    kept = kept.where(F.col("match_score") >= least)
+    # Written once: the pairs that stay are few, and what explains them is a plan of its own.
+    kept = stored(kept.where(F.col("match_score") >= least), "match-run")
     out = match_explain(kept, configs, thresholds, rules, history, as_of)
     limits = {c: po.safe_rate(F.col(c), po.THRESHOLD_DEFAULTS[c]) for c in ("min_auto_merge_score", "min_review_score")}
     return out.withColumns(limits).withColumn("posture", _posture(config, "match_score"))

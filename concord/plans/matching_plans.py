@@ -222,12 +222,11 @@ PRODUCT = {
     "h": "SELECT *, list_filter([name_score, var, pack, sku_score], lambda x: x > 0) AS parts FROM g",
 }
 
-CHECKS = {
-    "candidate_pairs": check(["match_pairs"], f"""SELECT a_id, b_id, blocks, {half_up("""CASE WHEN dob = 1 AND address >= 0.95e0 AND name >= 0.85e0 THEN greatest(total, 0.82e0)
+CANDIDATES = f"""SELECT a_id, b_id, blocks, {half_up("""CASE WHEN dob = 1 AND address >= 0.95e0 AND name >= 0.85e0 THEN greatest(total, 0.82e0)
         WHEN dob = 1 AND name >= 0.9e0 THEN greatest(total, 0.78e0) ELSE total END""", 6)} AS bound
       FROM (SELECT *, name * 0.25e0 + email * 0.15e0 + address * 0.2e0 + dob * 0.25e0 + member * 0.1e0 + source * 0.05e0 AS total FROM bounds)
-      WHERE bound >= 0.695e0""",
-        {**_phonetic_ctes("match_pairs", {"sound": "a_last_name"}, "* EXCLUDE (pair_id)"),
+      WHERE bound >= 0.695e0"""
+CANDIDATE_CTES = {**_phonetic_ctes("match_pairs", {"sound": "a_last_name"}, "* EXCLUDE (pair_id)"),
          "zipped": f"SELECT *, regexp_extract({_standard('a_address')}, '\\b(\\d{{5}})(?:-\\d{{4}})?\\b', 1) AS zip FROM ph3",
          "keyed": f"""SELECT a_id AS id, 'identifier' AS kind, {_n('a_member_id')} AS key FROM zipped WHERE {_n('a_member_id')} <> ''
            UNION ALL SELECT a_id, 'email', {_mail('a_email')} FROM zipped WHERE {_n('a_email')} <> ''
@@ -242,7 +241,10 @@ CHECKS = {
            CASE WHEN len(a.name) + len(b.name) = 0 THEN 1e0 ELSE 1e0 - levenshtein(a.name, b.name) / (len(a.name) + len(b.name)) END AS name,
            CASE WHEN a.mail <> '' AND b.mail <> '' THEN least(1e0, a.mail_trust, b.mail_trust) ELSE 0e0 END AS email,
            CASE WHEN a.address = '' OR b.address = '' THEN 0e0 WHEN a.address = b.address THEN 1e0 ELSE 0.6e0 * (2 + least(len(a.address), len(b.address)) / greatest(len(a.address), len(b.address))) / 3 + 0.4e0 END AS address,
-           {_trust('a.sys', 'b.sys')} AS source FROM met JOIN told a ON a.id = a_id JOIN told b ON b.id = b_id"""}),
+           {_trust('a.sys', 'b.sys')} AS source FROM met JOIN told a ON a.id = a_id JOIN told b ON b.id = b_id"""}
+
+CHECKS = {
+    "candidate_pairs": check(["match_pairs"], CANDIDATES, CANDIDATE_CTES),
     "score_product": check(["product_pairs"], f"""SELECT pair_id, product_id_score, gtin_score, sku_score, name_score, lot_date_score, source_score,
       coalesce(attribute, 0e0) AS attribute_score, {half_up("""product_id_score * 0.2e0 + gtin_score * 0.25e0 + sku_score * 0.15e0 + name_score * 0.1e0 + lot_date_score * 0.1e0
         + coalesce(attribute, 0e0) * 0.1e0 + source_score * 0.05e0 + 0.05e0""", 4)} AS match_score
