@@ -83,8 +83,8 @@ def match_run(
     least = lowest_review(config, thresholds, as_of)
     pairs = scored_run(records, config, least)
     kept = score_pairs(pair_signals(pairs)).select(*[F.col(f"`{c}`") for c in pairs.columns if c != "match_score"], F.round("entity_score", 2).alias("match_score"))
-    # Written once: the pairs that stay are few, and what explains them is a plan of its own.
-    kept = stored(kept.where(F.col("match_score") >= least), "match-run")
+    # Written once: the pairs that stay are few, and what explains them is a plan of its own, of one constant domain.
+    kept = stored(kept.where(F.col("match_score") >= least).drop("domain"), "match-run").withColumn("domain", F.lit(config.domain.strip().upper()))
     out = match_explain(kept, configs, thresholds, rules, history, as_of)
     limits = {c: po.safe_rate(F.col(c), po.THRESHOLD_DEFAULTS[c]) for c in ("min_auto_merge_score", "min_review_score")}
     return out.withColumns(limits).withColumn("posture", _posture(config, "match_score"))
