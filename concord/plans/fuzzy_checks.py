@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from concord.operators import confidence as co
 from concord.operators import names as na
+from concord.operators import signals as si
 from concord.plans.checks import check, half_up
 from concord.plans.matching_plans import _addr, _exact, _host_trust, _jw, _mail, _n, _phonetic_ctes, _trust
+from concord.sources.shaped import shaped, spread
 
 
 def sequence_cte(source: str) -> str:
@@ -141,15 +144,53 @@ _normal = lambda c: f"nullif(trim(regexp_replace(regexp_replace(lower(trim({c}))
 _LEVEL = "CASE WHEN na IS NULL OR nb IS NULL THEN 'UNKNOWN' WHEN na = nb OR score >= 0.97e0 THEN 'EXACT' WHEN score >= 0.82e0 THEN 'SIMILAR' ELSE 'DIFFERENT' END"
 _NICKNAMES = ", ".join(f"'{p}'" for p in na.NICKNAME_PAIRS)
 
+_SUPPLIER_TEXTS = {
+    "first": (_n("a_supplier_name"), _n(_either("b_supplier_name", "b_first_name"))), "address": _both(lambda s: _addr(f"{s}_supplier_address")),
+    "id": _both(_text("@supplier_id", "@member_id")),
+}
+_SUPPLIER_MAILS = {"email": ("a_contact_email", _either("b_contact_email", "b_email"))}
+
+
+def _banded(*steps: tuple[float, str]) -> str:
+    return "CASE " + " ".join(f"WHEN score >= {floor}e0 THEN '{word}'" for floor, word in steps) + " ELSE 'DIFFERENT' END"
+
+
+def _quoted(c: str, missing: str = "None") -> str:
+    return f"chr(39) || coalesce({c}, '{missing}') || chr(39)"
+
+
+def _compared(what: str, a: str, b: str) -> str:
+    return f"'{what} ' || {a} || ' and ' || {b} || '.'"
+
+
+_PLAIN = _banded((0.95, "EXACT"), (0.7, "SIMILAR"), (0.5, "FUZZY"))
+_GRADED = _banded((0.95, "EXACT"), (0.8, "STRONG"), (0.6, "FUZZY"))
+_LEVELS = _banded((0.99, "EXACT"), (0.9, "SIMILAR"), (0.7, "FUZZY"))
+_SYSTEM = lambda s: _quoted(f"nullif({s}_source_system, '')", "UNKNOWN")
+# What is said of each signal of a supplier pair: its score, its band, and the sentence.
+_SAID = {
+    "supplier_id_match": (_exact("a_id_", "b_id_"), _PLAIN, _compared("Compared Supplier IDs", _quoted("a_id_"), _quoted("b_id_"))),
+    "tax_id_match": (_exact("a_tax_id", "b_tax_id"), _PLAIN, _compared("Compared tax IDs", _quoted("a_tax_id"), _quoted("b_tax_id"))),
+    "name_similarity": (_jw("a_first_", "b_first_"), _PLAIN, _compared(
+        "Compared name pairs", "chr(39) || coalesce(a_supplier_name, '') || ' ' || chr(39)", f"chr(39) || coalesce({_either('b_supplier_name', 'b_first_name')}, '') || ' ' || chr(39)")),
+    "address_similarity": ("address_score", _PLAIN, "'Supplier addresses evaluated using Jaro-Winkler fuzzy matching. Confidence score: ' || printf('%.2f', "
+                           + half_up("address_score", 2) + f") || ' (' || {_GRADED} || ').'"),
+    "contact_email_match": ("email_score", _LEVELS, f"""CASE WHEN coalesce(a_email_raw, '') = '' OR coalesce(b_email_raw, '') = '' THEN 'Supplier contact email missing on one or both records.'
+      WHEN {_n('a_email_raw')} = {_n('b_email_raw')} THEN 'Supplier contact email values match exactly.' ELSE 'Supplier contact email values partially align or differ.' END"""),
+    "source_trust": (_trust("a_source_system", "b_source_system"), _PLAIN, _compared("Source trust evaluated for", _SYSTEM("a"), _SYSTEM("b"))),
+}
+_SUPPLIER_SAID = " UNION ALL ".join(
+    f"SELECT pair_id, '{name}' AS signal_name, {half_up('score', 4)} AS signal_score, {band} AS signal_band, {text} AS detail FROM (SELECT *, {score} AS score FROM told)"
+    for name, (score, band, text) in _SAID.items())
+
 CHECKS = {
+    "signal_details": check(["supplier_pairs"], _SUPPLIER_SAID, {
+        **score_ctes("supplier_pairs", _SUPPLIER_TEXTS, _SUPPLIER_MAILS), "told": f"SELECT *, {_ADDRESS} FROM m"}),
     "email_score": _scores("match_pairs", {}, {"email": _both(lambda s: f"{s}_email")}, f"""SELECT pair_id, {half_up('email_score', 4)} AS email_score,
       CASE WHEN email_score >= 0.99e0 THEN 'EXACT' WHEN email_score >= 0.9e0 THEN 'SIMILAR' WHEN email_score >= 0.7e0 THEN 'FUZZY' ELSE 'DIFFERENT' END AS email_match_level FROM m"""),
     "score_customer": _scores("match_pairs", _MATCH, {"email": _both(lambda s: f"{s}_email")}, _CUSTOMER, full=True),
     "score_generic": _scores("match_pairs", _MATCH, {"email": _both(lambda s: f"{s}_email")}, _GENERIC),
-    "score_supplier": _scores("supplier_pairs", {
-        "first": (_n("a_supplier_name"), _n(_either("b_supplier_name", "b_first_name"))), "address": _both(lambda s: _addr(f"{s}_supplier_address")),
-        "id": _both(_text("@supplier_id", "@member_id")),
-    }, {"email": ("a_contact_email", _either("b_contact_email", "b_email"))}, _SUPPLIER),
+    "score_supplier": _scores("supplier_pairs", _SUPPLIER_TEXTS, _SUPPLIER_MAILS, _SUPPLIER),
     "score_patient": _scores("patient_pairs", {
         "first": (_n(_either("a_patient_first_name", "a_first_name")), _n("b_first_name")), "last": (_n(_either("a_patient_last_name", "a_last_name")), _n("b_last_name")),
         "address": (_addr("a_address"), _addr("b_patient_address")), "born": (_either("a_patient_dob", "a_dob"), "b_dob"), "pid": _both(lambda s: _n(f"{s}_patient_id")),
@@ -177,4 +218,12 @@ CHECKS = {
          **_phonetic_ctes("normal", {"key_a": "na", "key_b": "nb"}, "pair_id, na, nb"),
          "asked": "SELECT na AS a, nb AS b FROM normal", "sr": sequence_cte("asked")}),
 }
-QUERIES: dict = {}
+
+
+def _details(s, d):
+    """The signals of supplier pairs with their sentences, one row each."""
+    df = co.with_signal_packets(si.pair_signals(spread(shaped(s, d, "supplier_pairs"))))
+    return co.one_row_per_entry(df, "signal_packets").select("pair_id", "signal_name", "signal_score", "signal_band", "detail")
+
+
+QUERIES = {"signal_details": _details}
