@@ -2,12 +2,14 @@
 
 1. Documents with the same shingle set become one node.
 2. The tokens of each set are dealt by hash into so many parts that two similar sets must have one part in common
-   (pigeonhole); each part is one signature. Unrelated sets share tokens but hardly ever a whole part.
+   (pigeonhole); each part is one signature. Unrelated sets share tokens but hardly ever a whole part, and parts that
+   hold nothing but frequent tokens are the first that are left out.
 3. Nodes that share a signature, directly or through others, form a group around a leader. Every member is written as
    what it lacks and what it adds to the leader's set; members similar to the leader are linked to it.
 4. Token-group matrix: how many members hold each lacking or added token. The tokens that a member shares with the union
-   of all others bound its overlap with any of them, so most members never open their group. The others meet
-   the members with which they share one of their rarest tokens, and those pairs are compared exactly.
+   of all others bound its overlap with any of them, so most members never open their group. The others are compared
+   exactly: inside one task where the group is small, else they meet the members with which they share one of their
+   rarest tokens.
 5. Components of all links that hold.
 
 No link is lost. With L the leader and d what sets a member apart from it, two members of which one is not similar to L
@@ -25,14 +27,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from concord.llm.components import roots
-from concord.llm.tables import pack, presence, present, shards, unpack, written
+from concord.llm.components import least_reached, roots
+from concord.llm.tables import hash_counts, pack, presence, present, shards, unpack, written
 from concord.llm.words import SPACED, mix, parts, shingles, text_bytes, words
 
 #: Bits of the table that tells which nodes' sets are needed for comparisons.
 NEEDED_BITS = 1 << 26
 #: Signatures that a task collects before it sends them off.
 BLOCK_SIGNATURES = 1 << 19
+#: Slots in which tokens are counted. Tokens that share one count together, which only changes what is left out.
+COUNT_SLOTS = 1 << 22
+#: Bits of a ref that is no small id, and those of a signature beside its shard; equal ones by chance only join groups.
+REF_BITS, SIGN_BITS = 40, 48
+#: Members and bytes of lacking and added tokens up to which a group is compared inside one task.
+GROUP_MEMBERS, GROUP_BYTES = 1 << 12, 1 << 22
 
 
 def _sets(batch: pa.RecordBatch, size: int) -> Iterator[np.ndarray]:
@@ -49,8 +57,8 @@ class Levels:
 
     Sizes form classes such that a set and a larger one similar to it are in the same or neighbouring classes. Sets of
     a class and of the next share a level. On a level at most ``differ`` tokens set two similar sets apart, so of
-    ``differ + 1 + spare`` parts at least ``1 + spare`` agree. Each set leaves out its ``spare`` smallest parts (ties by
-    content); the largest part that agrees is left out by neither.
+    ``differ + 1 + spare`` parts at least ``1 + spare`` agree. Each set leaves out its ``spare`` first parts in an order
+    that looks at a part's content only; the last part that agrees is left out by neither.
     """
 
     def __init__(self, num: int, den: int):
@@ -70,10 +78,26 @@ class Levels:
                     yield level, differ + 1 + spare, spare
 
 
-def _signatures(tokens: np.ndarray, levels: Levels) -> np.ndarray:
-    """Signatures of a sorted token set on all its levels."""
+def _token_counts(docs: DataFrame, size: int) -> np.ndarray:
+    """In how many documents about the tokens of each slot stand."""
+    def tokens(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for part in parts(batch, "text"):
+            yield np.concatenate([np.zeros(0, np.uint64), *_sets(part, size)])
+
+    counts = hash_counts(docs, tokens, COUNT_SLOTS)
+    return np.minimum(counts, np.iinfo(np.uint32).max).astype(np.uint32)
+
+
+def _signatures(tokens: np.ndarray, levels: Levels, counts: np.ndarray) -> np.ndarray:
+    """Signatures of a sorted token set on all its levels.
+
+    Empty parts are left out first, then those whose rarest token is the most frequent, small ones before large ones: what
+    many documents share, like a passage or a license line, ties hardly any of them together. ``counts`` sets nothing but
+    this order, so it must be the same for all sets, but not exact.
+    """
     out = []
     spread = mix(tokens)
+    seen = counts[tokens & np.uint64(len(counts) - 1)].astype(np.int64)
     for level, count, spare in levels.of(len(tokens)):
         part = ((tokens >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)
         first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
@@ -82,7 +106,7 @@ def _signatures(tokens: np.ndarray, levels: Levels) -> np.ndarray:
         missing = count - len(first)
         key = mix(total + mix(part[first] + np.uint64(level << 32)))
         if missing < spare:
-            key = key[np.lexsort((key, held))[spare - missing :]]
+            key = key[np.lexsort((key, held, -np.minimum.reduceat(seen, first)))[spare - missing :]]
         elif missing > spare:
             empty = np.setdiff1d(np.arange(count, dtype=np.uint64), part[first])
             empty = np.sort(mix(mix(empty + np.uint64(level << 32))))
@@ -111,10 +135,10 @@ def _nodes(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _refs(ids: pa.Array, nodes: list[bytes | None], is_long: bool) -> list[int | None]:
-    """Short names of sets: the id, or bytes of the set's name where there is none. Two sets of one name both count."""
+    """Short names of sets: a small id, or bits of the set's name where there is none. Two sets of one name both count."""
     own = ids.to_pylist() if is_long else [None] * len(nodes)
     return [
-        i if i is not None else int.from_bytes(k[:8], "big", signed=True) if k else None
+        i if i is not None and 0 <= i < 1 << REF_BITS else int.from_bytes(k[:8], "big") >> 64 - REF_BITS if k else None
         for i, k in zip(own, nodes, strict=True)
     ]
 
@@ -129,7 +153,7 @@ def _stars(sign: np.ndarray, ref: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return sign[first], ref[first], np.unique(np.stack((ref[apart], least[apart]), 1), axis=0)
 
 
-def _neighbours(docs: DataFrame, size: int, levels: Levels) -> DataFrame:
+def _neighbours(docs: DataFrame, size: int, levels: Levels, counts: np.ndarray) -> DataFrame:
     """Edges (a, b) of refs: all refs with one signature hang on the smallest, by way of the smallest of each block.
 
     A block sends each signature once, however many of its documents hold it, so the most frequent signature costs a
@@ -137,6 +161,7 @@ def _neighbours(docs: DataFrame, size: int, levels: Levels) -> DataFrame:
     """
     is_long = docs.schema[0].dataType.simpleString() == "bigint"
     total = shards(docs.sparkSession)
+    frequent = docs.sparkSession.sparkContext.broadcast(counts)
     kind = "key int, sign binary, ref binary, a long, b long"
     names = ["key", "sign", "ref", "a", "b"]
 
@@ -152,8 +177,8 @@ def _neighbours(docs: DataFrame, size: int, levels: Levels) -> DataFrame:
         sign, least, pairs = _stars(np.concatenate(signs), ref)
         if len(pairs):
             yield edges(pairs)
-        shard = (sign >> np.uint64(40)) % np.uint64(total)
-        order = np.argsort(shard, kind="stable")
+        shard, sign = (sign >> np.uint64(40)) % np.uint64(total), sign & np.uint64((1 << SIGN_BITS) - 1)
+        order = np.lexsort((sign, shard))
         sign, least, shard = sign[order], least[order], shard[order]
         cut = np.searchsorted(shard, np.arange(total + 1))
         at = [k for k in range(total) if cut[k] < cut[k + 1]]
@@ -170,7 +195,7 @@ def _neighbours(docs: DataFrame, size: int, levels: Levels) -> DataFrame:
                 sets = list(_sets(part, size))
                 nodes = [_node(x) if len(x) else None for x in sets]
                 for tokens, ref in zip(sets, _refs(part.column(0), nodes, is_long), strict=True):
-                    own = _signatures(tokens, levels) if len(tokens) else tokens
+                    own = _signatures(tokens, levels, frequent.value) if len(tokens) else tokens
                     if len(own):
                         signs.append(own)
                         refs.append(ref)
@@ -280,11 +305,12 @@ def _hold(pairs: DataFrame, deltas: DataFrame, num: int, den: int) -> DataFrame:
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for row in batch.select(["na", "nb", "nl", "la", "lb", "aa", "ab"]).to_pylist():
-                la, lb, aa, ab = (np.frombuffer(row[k], np.uint64) for k in ("la", "lb", "aa", "ab"))
+            for k in range(batch.num_rows):
+                na, nb, nl, *told = (batch.column(c)[k].as_py() for c in ("na", "nb", "nl", "la", "lb", "aa", "ab"))
+                la, lb, aa, ab = (np.frombuffer(x, np.uint64) for x in told)
                 lack = len(np.union1d(la, lb))
-                common = row["nl"] - lack + len(np.intersect1d(aa, ab, assume_unique=True))
-                keep.append(den * common >= num * (row["na"] + row["nb"] - common))
+                common = nl - lack + len(np.intersect1d(aa, ab, assume_unique=True))
+                keep.append(den * common >= num * (na + nb - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     def side(s: str) -> DataFrame:
@@ -297,6 +323,66 @@ def _hold(pairs: DataFrame, deltas: DataFrame, num: int, den: int) -> DataFrame:
     return full.select("a", "b", "na", "nb", "nl", "la", "lb", "aa", "ab").mapInArrow(compare, "a binary, b binary")
 
 
+def _near(rows: list[tuple], num: int, den: int) -> list[tuple[bytes, bytes]]:
+    """Links (a, b) that connect all members of one group which are similar and not both similar to the leader.
+
+    ``rows`` are (rep, n, nl, lacks, adds, held). Two members have ``nl`` tokens in common, without those that either
+    lacks, and with those lacking or added that they share.
+    """
+    n, lacks, held = (np.array([r[i] if i != 3 else len(r[i]) // 8 for r in rows]) for i in (1, 3, 5))
+    own = [np.frombuffer(r[3] + r[4], np.uint64) for r in rows]
+    # The matrix: members by token. Tokens that one member has alone are in no other's reach.
+    _, column, members = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+    member = np.repeat(np.arange(len(rows)), [len(x) for x in own])
+    kept = members[column] > 1
+    column, member = column[kept], member[kept]
+    order = np.argsort(column, kind="stable")
+    holders, first = member[order], np.searchsorted(column[order], np.arange(len(members) + 1))
+    cut = np.searchsorted(member, np.arange(len(rows) + 1))
+    a, b = [], []
+    for i in np.flatnonzero(~held):
+        mine = column[cut[i] : cut[i + 1]]
+        # bound: of what it has in common with any other, no more than these tokens are not the leader's
+        if (num + den) * (rows[i][2] - lacks[i] + len(mine)) < num * (n[i] + n[i] * num // den):
+            continue
+        count = first[mine + 1] - first[mine]
+        at = np.repeat(first[mine] - np.cumsum(count) + count, count) + np.arange(count.sum())
+        common = rows[i][2] - lacks[i] - lacks + np.bincount(holders[at], minlength=len(rows))
+        hit = np.flatnonzero(den * common >= num * (n[i] + n - common))
+        hit = hit[hit != i]
+        a.append(np.full(len(hit), i))
+        b.append(hit)
+    if not a:
+        return []
+    root = least_reached(np.concatenate(a), np.concatenate(b), len(rows))
+    return [(rows[i][0], rows[k][0]) for i, k in enumerate(root.tolist()) if i != k]
+
+
+def _near_links(deltas: DataFrame, num: int, den: int) -> DataFrame:
+    """The links (a, b) of :func:`_near` in each of some groups, which are small."""
+    columns = ["rep", "n", "nl", "lacks", "adds", "held"]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, rows = None, []
+
+        def links() -> pa.RecordBatch:
+            found = _near(rows, num, den) if len(rows) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.binary()) for i in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            g, values = batch.column("g"), [batch.column(c) for c in columns]
+            for k in range(batch.num_rows):
+                if (own := g[k].as_py()) != group:
+                    if rows:
+                        yield links()
+                    group, rows = own, []
+                rows.append(tuple(v[k].as_py() for v in values))
+        if rows:
+            yield links()
+
+    return deltas.select("g", *columns).repartition("g").sortWithinPartitions("g").mapInArrow(scan, "a binary, b binary")
+
+
 def _opened(deltas: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (g, a, b) to compare: members that may be similar although not both are similar to the leader."""
     lacks, adds = F.length("lacks") / 8, F.length("adds") / 8
@@ -310,8 +396,7 @@ def _opened(deltas: DataFrame, num: int, den: int) -> DataFrame:
     def role(mixed: bool, needed: Column) -> Column:
         return F.struct(F.lit(mixed).alias("mixed"), needed.cast("long").alias("needed"))
 
-    busy = deltas.where("not held").select("g").distinct()
-    part = deltas.join(busy, "g", "left_semi").where("length(lacks) + length(adds) > 0").select(
+    part = deltas.where("length(lacks) + length(adds) > 0").select(
         "g", "rep", "n", "held", "lacks", "adds",
         F.when(F.col("held"), F.array(role(True, near))).otherwise(F.array(role(True, far), role(False, both_far))).alias("roles"),
     )
@@ -338,7 +423,7 @@ def _opened(deltas: DataFrame, num: int, den: int) -> DataFrame:
 def _links(docs: DataFrame, nodes: DataFrame, size: int, num: int, den: int, levels: Levels) -> DataFrame:
     """(node, root) of all classes of equal sets that are linked with another one."""
     named = nodes.where("node is not null").select("ref", F.col("node").alias("rep")).distinct()
-    edges = written(_neighbours(docs, size, levels), "neighbours")
+    edges = written(_neighbours(docs, size, levels, _token_counts(docs, size)), "neighbours")
     edges = edges.join(named.select(F.col("ref").alias("a"), F.col("rep").alias("x")), "a")
     edges = edges.join(named.select(F.col("ref").alias("b"), F.col("rep").alias("y")), "b")
     edges = written(edges.where("x != y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "edges")
@@ -354,7 +439,12 @@ def _links(docs: DataFrame, nodes: DataFrame, size: int, num: int, den: int, lev
     )
     deltas = written(_deltas(found.join(lead, "g"), num, den), "deltas")
     direct = deltas.where("held").join(leads, "g").select(F.col("rep").alias("a"), F.col("leader").alias("b"))
-    more = _hold(_opened(deltas, num, den), deltas, num, den)
+    size = F.sum(F.length("lacks") + F.length("adds")).alias("bytes")
+    busy = deltas.groupBy("g").agg(F.count("*").alias("members"), size, F.bool_and("held").alias("done")).where("not done")
+    small = f"members <= {GROUP_MEMBERS} and bytes <= {GROUP_BYTES}"
+    near = _near_links(deltas.join(busy.where(small), "g", "left_semi"), num, den)
+    large = written(deltas.join(busy.where(f"not ({small})"), "g", "left_semi"), "large")
+    more = near if large.isEmpty() else near.union(_hold(_opened(large, num, den), large, num, den))
     return roots(direct.where("a != b").union(more))
 
 

@@ -103,6 +103,28 @@ def test_jaccard(mixed, size, num):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
 
 
+@pytest.mark.parametrize(("size", "num"), [(5, 80)])
+def test_jaccard_of_large_groups(mixed, size, num, monkeypatch):
+    """Groups too large for one task are compared by joins, with the same result."""
+    monkeypatch.setattr(jaccard, "GROUP_MEMBERS", 1)
+    test_jaccard(mixed, size, num)
+
+
+def test_frequent_passages_tie_no_documents(docs_of):
+    """Documents that have nothing but one passage in common hardly ever meet; near copies among them do."""
+    rng = random.Random(6)
+    passage = " ".join(rng.choices("abcdefghijklmnop", k=30))
+    rows = [(i, " ".join(f"{i}x{k}" for k in range(60)) + " " + passage) for i in range(200)]
+    rows += [(1000 + i, t.replace(f"{i}x0 ", "other ")) for i, t in rows[:20]]
+    docs = docs_of(rows).select("doc_id", "text")
+    levels, counts = jaccard.Levels(80, 100), jaccard._token_counts(docs, 5)
+    tied = {(r.a, r.b) for r in jaccard._neighbours(docs, 5, levels, counts).collect()}
+    assert tied >= {(1000 + i, i) for i in range(20)} and len(tied) < 40
+    assert jaccard._neighbours(docs, 5, levels, np.zeros_like(counts)).count() > 100
+    groups = {r.doc_id: r.component_id for r in jaccard.jaccard_groups(docs, size=5, num=80).collect()}
+    assert groups == {i: i % 1000 for i, _ in rows}
+
+
 def test_suffix_array():
     rng = random.Random(1)
     for _ in range(200):
