@@ -156,6 +156,31 @@ def test_substrings(mixed, length):
     assert {(r["rest"]["c0"], r["rest"]["c1"]) for r in got} == {("en", "y")}
 
 
+def test_suffix_arrays_stay_small(monkeypatch):
+    """However many fragments a shard or one anchor has, no suffix array is built over more than some bytes."""
+    rng, length, seen = random.Random(7), 20, []
+    monkeypatch.setattr(substrings, "SORT_BYTES", 1500)
+    monkeypatch.setattr(substrings, "STRING_SLOTS", 1 << 12)
+    monkeypatch.setattr(substrings, "suffix_array", lambda x: seen.append(len(x)) or suffix.suffix_array(x))
+    shared = "".join(rng.choices("abcd", k=30))
+    for hot in (0, 5, 400):
+        found = [(0, "".join(rng.choices("ab", k=rng.randint(0, 4))) + shared + "".join(rng.choices("ab", k=3))) for _ in range(hot)]
+        found += [(a, "".join(rng.choices(f"{a % 10}x", k=rng.randint(length, 40)))) for a in range(1, 60) for _ in range(rng.randint(1, 9))]
+        least = [rng.randrange(1000) for _ in found]
+        want: dict = {}
+        for (a, s), i in zip(found, least, strict=True):
+            for k in range(len(s) - length + 1):
+                want[a, s[k : k + length]] = min(want.get((a, s[k : k + length]), i), i)
+        text = np.frombuffer("".join(s for _, s in found).encode(), np.uint8)
+        anchor, size = (np.array(x) for x in zip(*((a, len(s)) for a, s in found), strict=True))
+        got = substrings._least_ids(text, anchor, size, np.array(least), length)
+        assert got.tolist() == [want[a, s[k : k + length]] for a, s in found for k in range(len(s) - length + 1)]
+    assert max(seen) <= 1500
+    alike = substrings._least_of_alike(np.frombuffer(b"abcabdabc", np.uint8), np.array([0, 3, 6, 3]), np.array([5, 9, 4, 8]), 3, 2)
+    assert alike.tolist() == [4, 8, 4, 8]
+    assert substrings._least_ids(text[:0], anchor[:0], size[:0], np.zeros(0, np.int64), length).tolist() == []
+
+
 def test_token_counts(mixed):
     from tokenizers import Tokenizer
 
