@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from concord.llm.components import least_reached, roots
-from concord.llm.tables import hash_counts, pack, presence, present, shards, unpack, written
+from concord.llm.tables import give_back, hash_counts, pack, presence, present, shards, unpack, written
 from concord.llm.words import SPACED, mix, parts, shingles, text_bytes, words
 
 #: Bits of the table that tells which nodes' sets are needed for comparisons.
@@ -130,6 +130,7 @@ def _nodes(docs: DataFrame, size: int) -> DataFrame:
                      pa.array(_refs(part.column(0), nodes, is_long), pa.int64())],
                     names=["doc_id", "n", "node", "ref"],
                 )
+            give_back()
 
     return docs.mapInArrow(scan, f"doc_id {ident.simpleString()}, n long, node binary, ref long")
 
@@ -203,8 +204,10 @@ def _neighbours(docs: DataFrame, size: int, levels: Levels, counts: np.ndarray)
                 if held >= BLOCK_SIGNATURES:
                     yield from block(signs, refs)
                     signs, refs, held = [], [], 0
+                    give_back()
         if signs:
             yield from block(signs, refs)
+        give_back()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, signs, refs = None, [], []
@@ -228,6 +231,7 @@ def _neighbours(docs: DataFrame, size: int, levels: Levels, counts: np.ndarray)
                 signs.append(unpack(batch.column("sign")[row].as_py(), np.uint64))
                 refs.append(unpack(batch.column("ref")[row].as_py(), np.int64))
         yield from flush()
+        give_back()
 
     sent = docs.mapInArrow(scan, kind).repartition("key").sortWithinPartitions("key")
     return sent.mapInArrow(meet, "a long, b long").distinct()
@@ -255,6 +259,7 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([x[i] for x in out], pa.binary()) for i in (0, 1)], names=["node", "tokens"]
                 )
+            give_back()
 
     # Copies of one set that several tasks found are one row after this.
     return docs.mapInArrow(scan, "node binary, tokens binary").groupBy("node").agg(F.first("tokens").alias("tokens"))
@@ -275,6 +280,7 @@ def _deltas(members: DataFrame, num: int, den: int) -> DataFrame:
                 [batch.column("g"), batch.column("rep"), *[pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)]],
                 names=["g", "rep", "n", "nl", "lacks", "adds", "held"],
             )
+            give_back()
 
     return members.select("g", "rep", "tokens", "ltokens").mapInArrow(
         scan, "g binary, rep binary, n long, nl long, lacks binary, adds binary, held boolean"
@@ -379,6 +385,7 @@ def _near_links(deltas: DataFrame, num: int, den: int) -> DataFrame:
                 rows.append(tuple(v[k].as_py() for v in values))
         if rows:
             yield links()
+        give_back()
 
     return deltas.select("g", *columns).repartition("g").sortWithinPartitions("g").mapInArrow(scan, "a binary, b binary")
 
